@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality
+from plumbline.llm import quality, secrets, warc
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": quality.op9_quality_rules}
+    return {
+        "op7_secret_scan": secrets.op7_secret_scan,
+        "op9_quality_rules": quality.op9_quality_rules,
+        "op10_warc": warc.op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
