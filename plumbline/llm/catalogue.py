@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality, secrets, warc
+from plumbline.llm import bpe, quality, secrets, sstable, warc
 
 
 def queries() -> dict:
     return {
+        "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
+        "op6_token_sstable": sstable.op6_token_sstable,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_warc": warc.op10_warc,
