@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, quality, secrets, sstable, warc
+from plumbline.llm import bpe, quality, secrets, sstable, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_sstable": sstable.op6_token_sstable,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op9_quality_rules": quality.op9_quality_rules,
