@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, mixture, quality, secrets, simhash, sstable, toxicity, warc
+from plumbline.llm import bpe, media, mixture, quality, secrets, simhash, sstable, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_sstable": sstable.op6_token_sstable,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_media_chunks": media.op8_media_chunks,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_warc": warc.op10_warc,
     }
