@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, media, mixture, quality, secrets, simhash, sstable, toxicity, warc
+from plumbline.llm import bpe, media, mixture, quality, secrets, simhash, sstable, suffixes, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_mixture": mixture.op3_mixture,
         "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
