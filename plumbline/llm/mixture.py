@@ -157,11 +157,14 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
+def word_count() -> Column:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+
+
 def packed(docs: DataFrame, source: str = "source") -> DataFrame:
     """doc_id, skey, size, b1, b2, start: every document's place in its source's stream of words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(common.column_or_null(docs, source, "string")).alias("skey"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(common.column_or_null(docs, source, "string")).alias("skey"), word_count().alias("size"))
     mark = F.xxhash64("doc_id", "size")
     sized = common.materialize(rows.withColumn("b1", F.pmod(mark, F.lit(FANOUT)).cast("int")).withColumn("b2", F.pmod(F.shiftright(mark, 20), F.lit(FANOUT)).cast("int")), "mixture")
     before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -243,5 +246,18 @@ def mixture(docs: DataFrame, source: str = "source", block: int = BLOCK, weights
     return joined.join(table, "skey").select("doc_id", "skey", "size", "source_size", "target", "taken")
 
 
+def taken_documents(docs: DataFrame, source: str = "source", block: int = BLOCK) -> DataFrame:
+    """`docs` mixed in whole documents: those that the mix takes words of, each as often as taken / size, rounded, at least once.
+
+    Rows equal in doc_id and size share their copies evenly, rounded up.
+    """
+    mixed = mixture(docs, source, block).filter("taken > 0")
+    copies = mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.sum(F.greatest(F.round(F.col("taken") / F.col("size")), F.lit(1))).alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    copies = copies.select("_doc", "_size", F.ceil(F.col("_all") / F.col("_rows")).cast("int").alias("_copies"))
+    sized = docs.withColumn("_words", word_count())
+    out = sized.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op3_mixture(spark, sf_dir) -> DataFrame:
     return mixture(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
