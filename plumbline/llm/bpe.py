@@ -6,7 +6,8 @@
    order of position. The written table fixes the chunks for all later steps.
 2. The words are shuffled by bucket; each bucket encodes every distinct word
    once and answers each chunk with the ids of its words, in the chunk's order.
-3. The answers are joined to their chunk, and the ids are laid out by position.
+3. The answers are joined to their chunk, whose table is bucketed so that only
+   the answers move, and the ids are laid out by position.
 Decoding maps the ids through the token-byte table, whose size the vocabulary
 fixes. Frequent words cost one entry a chunk, so no key is hot.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import common, units
 
 #: Bytes of text a chunk; a longer document is a chunk by itself.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: Words of a bucket are joined by this byte, which UTF-8 never contains.
 SEPARATOR = b"\xff"
 
@@ -142,7 +143,7 @@ def _answered(docs: DataFrame, ranks, pattern: str, chunk_bytes: int) -> DataFra
     spark = docs.sparkSession
     n_buckets = 2 * common.partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = common.materialize(rows.mapInArrow(_pack(n_buckets, chunk_bytes), PACKED), "bpe")
+    packed = common.materialize_bucketed(rows.mapInArrow(_pack(n_buckets, chunk_bytes), PACKED), "bpe", "chunk")
     words = packed.select("chunk", F.explode("vocab").alias("v")).select("chunk", "v.bucket", "v.words")
     answers = words.groupBy("bucket").applyInArrow(_encoder(ranks, pattern), "chunk long, bucket int, ids binary, lengths binary")
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "lengths")).alias("answers"))

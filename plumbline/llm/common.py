@@ -50,6 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As `materialize`, dealt into buckets of `column`: a later join on it leaves these rows where they are.
+
+    The table is external, in the shared folder; only its name is in the session's catalog.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = "plumbline_" + path.rpartition("/")[2].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(partitions(spark), column).sortBy(column).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
