@@ -113,7 +113,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
             counts = _numbers(row["counts"])
             n = np.add.reduceat(np.append(lengths[codes], 0), np.minimum(np.cumsum(counts) - counts, len(codes))) if len(counts) else counts
             n = np.where(counts > 0, n, 0)
-            yield row["doc_ids"], n, units.gather(flat, lengths, codes)
+            yield row["doc_ids"], n, units.gather(flat, units.starts_of(lengths), lengths, codes)
 
 
 def _digester(ranks):
@@ -122,12 +122,12 @@ def _digester(ranks):
         size = np.zeros(tokens[-1][1] + 1, np.int64)
         for b, i in tokens:
             size[i] = len(b)
-        flat = np.frombuffer(b"".join(b for b, _ in tokens), np.uint8)
+        flat, starts = np.frombuffer(b"".join(b for b, _ in tokens), np.uint8), units.starts_of(size)
         for doc_ids, n, ids in _layout(batches):
             raw, ends, shas, decoded = ids.astype("<u4"), np.cumsum(n), [], []
             for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True):
                 shas.append(hashlib.sha256(raw[s:e].tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(units.gather(flat, size, ids[s:e]).tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(units.gather(flat, starts, size, ids[s:e]).tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest

@@ -40,7 +40,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: A new shard begins once the present one has so many bytes.
 ROLL_BYTES = 256 << 20
 END_ID = 2
-#: Distinct words whose ids a task keeps at most.
+#: Distinct words whose ids a worker keeps, give or take a chunk's.
 CACHE_WORDS = 1_000_000
 CHUNK_BYTES = 8 << 20
 FOOTER = struct.Struct("<QQQQQQIB8s")
@@ -204,28 +204,57 @@ class SSTable:
                 yield doc_of(k), self.ids(v)
 
 
-def _writer(base: str, tokenizer_json, end_id: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class WordEncoder:
+    """Ids of single words by the tokenizers library, kept for the words that come again.
+
+    A comma or full stop after a plain Latin letter is a match of its own under
+    the tokenizer's pattern, so such words share the ids of their stem.
+    """
+
+    def __init__(self, tokenizer_json: str, width: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(tokenizer_json.value)
-        model.encode_special_tokens = True
-        width = 2 if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        context, known, done, out = TaskContext.get(), {}, [], None
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = True
+        self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
+        self.words: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self._encode([".", ","]), strict=True))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        code = {2: "H", 4: "I"}[self.width]
+        found = (e.ids for i in range(0, len(words), 10_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in found]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed."""
+        stems = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "\u0234" else w for w in words]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        known = self.words
+        new = [w for w in dict.fromkeys(stems) if w not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        return [known[s] if len(s) == len(w) else known[s] + self.ends[w[-1]] for s, w in zip(stems, words, strict=True)]
+
+
+#: One encoder a Python worker, so that its tasks share the words already met.
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def _writer(base: str, tokenizer_json, end_id: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = (zlib.crc32(tokenizer_json.value.encode()), end_id >= 1 << 16)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = WordEncoder(tokenizer_json.value, 4 if key[1] else None)
+        encoder = _ENCODERS[key]
+        width, context, done, out = encoder.width, TaskContext.get(), [], None
         end = end_id.to_bytes(width, "little")
         for table in units.chunks(batches, CHUNK_BYTES):
             codes, counts, words = units.unitize(table.column("text").chunk(0))
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = [w for w in words if w not in known]
-            for i in range(0, len(new), 10_000):
-                for w, e in zip(new[i : i + 10_000], model.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, f"<u{width}").tobytes()
-            values = [known[w] for w in words]
+            values = encoder.encode(words)
             flat = np.frombuffer(b"".join(values), f"<u{width}")
             lengths = np.fromiter((len(v) // width for v in values), np.int64, len(values))
-            at = 0
+            at, starts = 0, units.starts_of(lengths)
             for doc_id, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                 if out is None:
                     path = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):03d}.sst"
@@ -233,7 +262,7 @@ def _writer(base: str, tokenizer_json, end_id: int):
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     file = fs.open_output_stream(local, compression=None)
                     out = Writer(file, width)
-                out.add(key_of(doc_id), units.gather(flat, lengths, codes[at : at + n]).tobytes() + end)
+                out.add(key_of(doc_id), units.gather(flat, starts, lengths, codes[at : at + n]).tobytes() + end)
                 at += n
                 if out.at >= ROLL_BYTES:
                     out.close()

@@ -82,7 +82,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """`flat` holds the items of each code one after another; the items of `codes`, in order."""
-    ends = np.cumsum(lengths)
-    return flat[ranges((ends - lengths)[codes], lengths[codes])]
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    """Where each code's items begin when the items of all codes follow one another."""
+    return np.cumsum(lengths) - lengths
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The items of `codes`, in order; `flat` holds the items of each code at its start."""
+    return flat[ranges(starts[codes], lengths[codes])]
