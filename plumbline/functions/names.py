@@ -55,36 +55,59 @@ def _shows(marker: Column, squashed: Column, starts: Column) -> Column:
     return F.exists(places, counts)
 
 
-def name_features(names: DataFrame, column: str = "name") -> DataFrame:
-    """Adds parts, tokens, families and params to a table of names. Run it on distinct names."""
-    name = F.coalesce(F.col(column), F.lit(""))
-    df = names.withColumn("parts", F.filter(F.split(clean(name), "[^A-Z0-9]+"), lambda x: x != ""))
-    df = df.withColumn("_squashed", F.array_join("parts", ""))
-    df = df.withColumn("_starts", F.transform("parts", lambda x, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))))
+def bind(value: Column, f) -> Column:
+    """f(value), with the value computed once: the lambda's variable stands for it in a tree that does not grow."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _tokens(parts: Column, squashed: Column, starts: Column, telling: Column) -> Column:
     markers = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(f).alias("family")) for m, f in tables.MARKERS.items()])
-    df = df.withColumn("_shown", F.transform(F.filter(markers, lambda m: _shows(m["marker"], F.col("_squashed"), F.col("_starts"))), lambda m: m["family"]))
-    telling = F.filter("parts", lambda x: ~_is_stop(x) & ~x.rlike("^[0-9]+$"))
-    df = df.withColumn("_telling", F.array_distinct(F.transform(telling, lambda x: _lookup(tables.ALIASES, x))))
-
-    def tokens_of(part: Column, i: Column) -> Column:
-        none = F.array().cast("array<string>")
-        token = _lookup(tables.ALIASES, part)
-        before = F.element_at("parts", i)  # the part before this one; i counts from 0
-        tail = (part == "DSA") & (i > 0) & F.when(i > 0, before).otherwise(F.lit("")).isin(*tables.DSA_PREFIXES)
-        others = F.array_except(F.array_remove("_telling", token), strings(tables.QUALIFIERS))
-        word = token.isin(*tables.WHOLE_ONLY) & (F.size(others) > 0)
-        numbered = token.rlike("^[A-Z]+[0-9]+$")
-        stem = _lookup(tables.ALIASES, F.regexp_extract(token, "^([A-Z]+)", 1))
-        more = F.when(numbered, F.concat(F.when(_is_stop(stem), none).otherwise(F.array(stem)), F.array(F.regexp_extract(token, "([0-9]+)$", 1)))).otherwise(none)
-        return F.when(_is_stop(part) | tail | _is_stop(token) | word, none).otherwise(F.concat(F.array(token), more))
-
-    own = F.flatten(F.transform("parts", lambda x, i: tokens_of(x, i)))
-    df = df.withColumn("_tokens", F.array_union("_shown", own))
-    curve = F.when(F.arrays_overlap("_tokens", strings(tables.CURVES)), strings(["ECDSA"])).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("tokens", F.array_sort(F.array_union("_tokens", curve)))
-    df = df.withColumn("families", F.array_intersect("tokens", strings(tables.FAMILIES)))
-    df = df.withColumn("params", F.array_sort(F.array_intersect(F.regexp_extract_all("_squashed", F.lit("[0-9]+"), F.lit(0)), strings(tables.SIZES))))
-    return df.drop("_squashed", "_starts", "_shown", "_telling", "_tokens")
+    shown = F.transform(F.filter(markers, lambda m: _shows(m["marker"], squashed, starts)), lambda m: m["family"])
+    none = F.array().cast("array<string>")
+
+    def of_part(part: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(parts, i - 1)).otherwise(F.lit(""))
+
+        def of_token(token: Column) -> Column:
+            others = F.array_except(F.array_remove(telling, token), strings(tables.QUALIFIERS))
+            word = token.isin(*tables.WHOLE_ONLY) & (F.size(others) > 0)
+            numbered = token.rlike("^[A-Z]+[0-9]+$")
+            stem = bind(_lookup(tables.ALIASES, F.regexp_extract(token, "^([A-Z]+)", 1)), lambda x: F.when(_is_stop(x), none).otherwise(F.array(x)))
+            more = F.when(numbered, F.concat(stem, F.array(F.regexp_extract(token, "([0-9]+)$", 1)))).otherwise(none)
+            return F.when(_is_stop(token) | word, none).otherwise(F.concat(F.array(token), more))
+
+        tail = (part == "DSA") & before.isin(*tables.DSA_PREFIXES)
+        return F.when(_is_stop(part) | tail, none).otherwise(bind(_lookup(tables.ALIASES, part), of_token))
+
+    both = F.array_union(shown, F.flatten(F.transform(parts, of_part)))
+    curve = lambda x: F.when(F.arrays_overlap(x, strings(tables.CURVES)), strings(["ECDSA"])).otherwise(none)
+    return bind(both, lambda x: F.array_sort(F.array_union(x, curve(x))))
+
+
+def features(name: Column) -> Column:
+    """struct(parts, tokens, families, params) of a name."""
+
+    def of_parts(parts: Column) -> Column:
+        starts = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y)))
+        telling = F.array_distinct(F.transform(F.filter(parts, lambda x: ~_is_stop(x) & ~x.rlike("^[0-9]+$")), lambda x: _lookup(tables.ALIASES, x)))
+
+        def of_squashed(s: Column) -> Column:
+            params = F.array_sort(F.array_intersect(F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0)), strings(tables.SIZES)))
+            tokens = bind(starts, lambda st: bind(telling, lambda te: _tokens(parts, s, st, te)))
+            return bind(tokens, lambda t: F.struct(parts.alias("parts"), t.alias("tokens"), F.array_intersect(t, strings(tables.FAMILIES)).alias("families"), params.alias("params")))
+
+        return bind(F.array_join(parts, ""), of_squashed)
+
+    return bind(F.filter(F.split(clean(F.coalesce(name, F.lit(""))), "[^A-Z0-9]+"), lambda x: x != ""), of_parts)
+
+
+def name_features(names: DataFrame, column: str = "name") -> DataFrame:
+    """Adds parts, tokens, families and params to a table of names. Run it on distinct names.
+
+    The features come out of a generator (one row a name), so no later step repeats the expression.
+    """
+    each = names.withColumn("_f", F.explode(F.array(features(F.col(column)))))
+    return each.select(*names.columns, "_f.parts", "_f.tokens", "_f.families", "_f.params")
 
 
 def compatible(planted: dict[str, Column], reported: dict[str, Column]) -> Column:
