@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import score
+from plumbline.sources.stored import cut
 
 PLANTED = (
     "AES-256", "AES-256-GCM", "ECDHE-ECDSA-AES256-GCM-SHA384", "ECDSA-P256", "Ed25519", "Falcon-512", "Falcon-1024", "LMS", "ML-DSA", "ML-DSA-65", "ML-KEM", "ML-KEM-512", "ML-KEM-768", "PKCS#12", "PyNaCl",
@@ -23,8 +24,16 @@ def quoted(values) -> str:
 
 
 class Frames:
+    """The frames of one query. Those that a query uses more than once are written once."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = cut(make(), name)
+        return self._written[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -64,17 +73,16 @@ class Frames:
         return self.accepted().select("project", F.col("file").alias("path")).distinct()
 
     def claims(self) -> DataFrame:
-        raw = self.raw_claims()
-        return score.resolve_claims(raw.drop("project"), self.inputs(), self.files())
+        return self._once("claims", lambda: score.resolve_claims(self.raw_claims().drop("project"), self.inputs(), self.files()))
 
     def allowances(self) -> DataFrame:
         return self.spark.createDataFrame([("CSPRNG", None, None), ("GCM", None, None), ("MD5", "p1", "src/f3.c"), ("DES", "p2", None), ("SSLv3", "p0", "src/f5.c"), ("TLS", None, None)], "algorithm string, project string, file string")
 
     def credible(self) -> DataFrame:
-        return score.credible_algorithms(self.assets(), self.plants())
+        return self._once("credible", lambda: score.credible_algorithms(self.assets(), self.plants()))
 
     def hits(self) -> DataFrame:
-        return score.hits(self.inputs(), self.plants(), self.accepted(), self.assets(), self.claims(), self.credible())
+        return self._once("hits", lambda: score.hits(self.inputs(), self.plants(), self.accepted(), self.assets(), self.claims(), self.credible()))
 
     def verdicts(self) -> DataFrame:
         return score.verdicts(self.inputs(), self.plants(), self.assets(), self.hits(), self.credible())
