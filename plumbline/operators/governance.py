@@ -12,13 +12,22 @@ from plumbline.functions import tables
 
 def table_digests(spark) -> DataFrame:
     """table_name, entries, sha256_16 of the judgement tables in this build."""
+    markers = sorted(([m, f] for m, f in tables.MARKERS.items()), key=lambda x: -len(x[0]))
+    allowed = sorted(a if p is None and f is None else str((a, p, f)) for a, p, f in tables.ALLOWANCES)
     named = {
-        "oid_algorithms": dict(tables.OIDS), "token_aliases": dict(tables.ALIASES), "whole_token_only": sorted(tables.WHOLE_ONLY),
-        "location_properties": sorted(tables.LOCATION_PROPERTIES), "line_properties": sorted(tables.LINE_PROPERTIES), "allowances": sorted([a, p or "", f or ""] for a, p, f in tables.ALLOWANCES),
+        "oid_algorithms": tables.OIDS, "token_aliases": tables.ALIASES, "family_markers": markers, "whole_token_only": sorted(tables.WHOLE_ONLY),
+        "location_property_names": sorted(tables.LOCATION_PROPERTIES), "line_property_names": sorted(tables.LINE_PROPERTIES), "known_unplanted": allowed,
     }
     return spark.createDataFrame([(k, len(v), tables.digest16(v)) for k, v in named.items()], "table_name string, entries long, sha256_16 string")
 
 
+def digest_changes(now: DataFrame, then: DataFrame) -> DataFrame:
+    """table_name, sha256_16, state: whether a run's tables were the same ones; "new" where it recorded none."""
+    t = then.select("table_name", F.col("sha256_16").alias("_then"))
+    state = F.when(F.col("_then").isNull(), "new").when(F.col("_then") == F.col("sha256_16"), "same").otherwise(F.concat(F.lit("then "), "_then"))
+    return now.join(t, "table_name", "left").select("table_name", "entries", "sha256_16", state.alias("state"))
+
+
 def verify(recorded: DataFrame, present: DataFrame, key: str = "name", digest: str = "sha256") -> DataFrame:
     """key, status: ok, MISSING (recorded only), MISMATCH or extra (present only)."""
     r = recorded.select(F.col(key).alias("_r"), F.col(digest).alias("_rd"))

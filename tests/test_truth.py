@@ -66,7 +66,11 @@ def test_text_rules(spark):
 
 def test_governance(spark):
     d = governance.table_digests(spark).collect()
-    assert {r.table_name: r.entries for r in d} == {"oid_algorithms": 27, "token_aliases": 32, "whole_token_only": 7, "location_properties": 8, "line_properties": 5, "allowances": 15}
+    assert {r.table_name: r.entries for r in d} == {"oid_algorithms": 27, "token_aliases": 32, "family_markers": 43, "whole_token_only": 7, "location_property_names": 8, "line_property_names": 5, "known_unplanted": 15}
+    known = {"oid_algorithms": "031a3c27915e6dde", "token_aliases": "637f0e9d5f2cf137", "whole_token_only": "88a20cf6715e9c84", "location_property_names": "0b8c15cc33ce242a", "line_property_names": "ed438ed351a5b930"}
+    then = spark.createDataFrame([*known.items(), ("family_markers", "0")], "table_name string, sha256_16 string")
+    states = {r.table_name: r.state for r in governance.digest_changes(governance.table_digests(spark), then).collect()}
+    assert states == dict.fromkeys(known, "same") | {"family_markers": "then 0", "known_unplanted": "new"}
     docs = spark.createDataFrame([("s", json.dumps({"specVersion": "1.6", "components": [{"type": "thing", "name": "x"}, {"type": "library"}]}))], "source string, raw string")
     p = shred.parse(docs)
     assert {r.message for r in governance.structural_errors(p, shred.components(p)).collect()} == {"bomFormat must be CycloneDX", "type is not one of the enumeration", "name is required"}
