@@ -1,0 +1,63 @@
+"""Findings of other tools as rows, and the small configuration rules of a collection run."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SARIF = "runs array<struct<results:array<struct<ruleId:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>>>>"
+MATCHES = "results array<struct<check_id:string,path:string,start:struct<line:bigint>,extra:struct<message:string,metadata:map<string,string>>>>"
+
+
+def sarif_findings(spark: SparkSession, path: str) -> DataFrame:
+    """name (rule), message, file, line: one row per result and location; a result without location has null file and line."""
+    docs = spark.read.schema(SARIF).option("multiLine", True).json(path)
+    each = docs.select(F.explode("runs").alias("r")).select(F.explode("r.results").alias("x"))
+    placed = each.select("x.ruleId", "x.message.text", F.explode_outer("x.locations").alias("l"))
+    return placed.select(F.col("ruleId").alias("name"), F.col("text").alias("message"), F.col("l.physicalLocation.artifactLocation.uri").alias("file"), F.col("l.physicalLocation.region.startLine").alias("line"))
+
+
+def match_findings(spark: SparkSession, path: str) -> DataFrame:
+    """name (last part of the rule's id), message, file, line, metadata of pattern-match reports."""
+    docs = spark.read.schema(MATCHES).option("multiLine", True).json(path)
+    each = docs.select(F.explode("results").alias("x"))
+    return each.select(F.substring_index("x.check_id", ".", -1).alias("name"), F.col("x.extra.message").alias("message"), F.col("x.path").alias("file"), F.col("x.start.line").alias("line"), F.col("x.extra.metadata").alias("metadata"))
+
+
+def signatures_only(findings: DataFrame, pattern: str) -> DataFrame:
+    """The findings whose name matches a pattern, in any case."""
+    return findings.filter(F.col("name").rlike(f"(?i){pattern}"))
+
+
+def without_root(findings: DataFrame, root: str) -> DataFrame:
+    """Files relative to a root folder where they lie below it."""
+    prefix = root.rstrip("/") + "/"
+    return findings.withColumn("file", F.when(F.startswith("file", F.lit(prefix)), F.substring("file", F.lit(len(prefix) + 1), F.length("file"))).otherwise(F.col("file")))
+
+
+def expand(value, environment: Mapping[str, str]):
+    """A configuration with ${NAME} replaced throughout; raises with all names that are not set."""
+    lost: set[str] = set()
+
+    def walk(v):
+        if isinstance(v, str):
+            lost.update(n for n in re.findall(r"\$\{(\w+)\}", v) if n not in environment)
+            return re.sub(r"\$\{(\w+)\}", lambda m: environment.get(m[1], ""), v)
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return {k: walk(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    out = walk(value)
+    if lost:
+        raise ValueError("not set: " + ", ".join(sorted(lost)))
+    return out
+
+
+def invocation_grid(specs: DataFrame, projects: DataFrame, tools: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Every tool on every project, both filtered where asked. Both dimensions are small by nature."""
+    s = specs if tools is None else specs.filter(F.col("tool").isin(tools))
+    p = projects if only is None else projects.filter(F.col("project").isin(only))
+    return s.select("tool").crossJoin(p.select("project", "language"))
