@@ -39,7 +39,7 @@ MAX_DISTANCE = 4
 #: Ways to cut the eight groups of eight bits into parts.
 LAYOUTS = ((4, 4), (3, 3, 2), (2, 2, 2, 2), (2, 2, 2, 1, 1))
 #: Cost of a verified candidate, a shuffled probe being 1.
-CANDIDATE_COST = 0.02
+CANDIDATE_COST = 0.05
 HOT_ROWS = 4096
 #: Buckets up to this size are compared by shifts of the sorted rows, larger ones by blocks.
 SHIFT_ROWS = 48
