@@ -38,8 +38,14 @@ UNIT = 64
 LEAST, MOST, AVERAGE_BITS, WINDOW = 1 << 10, 1 << 16, 12, 32
 #: The gear table: a random 32-bit number for each byte.
 GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
-ENTRY = struct.Struct("<32sI")
-LEVEL = 6
+#: Chunks and payloads are known by the first 128 bits of their SHA-256.
+KEY = 16
+ENTRY = struct.Struct("<16sI")
+LEVEL = 12
+
+
+def key_of(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:KEY]
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -70,24 +76,24 @@ def cuts(payload: bytes) -> list[int]:
 
 
 def chunks_of(payload: bytes) -> list[tuple[bytes, bytes]]:
-    """(SHA-256, bytes) of each chunk, in order."""
+    """(key, bytes) of each chunk, in order."""
     out, start = [], 0
     for end in cuts(payload):
         piece = payload[start:end]
-        out.append((hashlib.sha256(piece).digest(), piece))
+        out.append((key_of(piece), piece))
         start = end
     return out
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, media (the payload's digest), n_bytes, chunks: digests, null where this task saw the payload before."""
+    """doc_id, media (the payload's key), n_bytes, chunks: keys, null where this task saw the payload before."""
     seen = set()
     for batch in batches:
         out = []
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             raw = text.as_py() or b""
             payload = payload_of(raw)
-            media = hashlib.sha256(payload).digest()
+            media = key_of(payload)
             out.append((doc_id.as_py(), media, len(raw), None if media in seen else [d for d, _ in chunks_of(payload)]))
             seen.add(media)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())), strict=True)], names=["doc_id", "media", "n_bytes", "chunks"])
@@ -100,7 +106,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text in batch.column(1):
             payload = payload_of(text.as_py())
-            media = hashlib.sha256(payload).digest()
+            media = key_of(payload)
             if media not in seen:
                 seen.add(media)
                 out.append((media, pack(payload)))
@@ -137,23 +143,24 @@ def features(payload: bytes, pieces: int) -> str:
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
             out = []
-            for row in whole.slice(lo, 500).to_pylist():
+            for row in batch.slice(lo, 500).to_pylist():
                 held = {c["digest"]: c["data"] for k in ("own", "shared", "fetched") for c in row[k] or []}
                 parts, done = [], set()
                 for digest, size in ENTRY.iter_unpack(row["listing"]):
                     data = held.get(digest)
-                    if data is None or len(data) != size or (digest not in done and hashlib.sha256(data).digest() != digest):
+                    if data is None or len(data) != size or (digest not in done and key_of(data) != digest):
                         raise ValueError("a chunk is missing or differs")
                     done.add(digest)
                     parts.append(data)
                 payload = b"".join(parts)
-                if hashlib.sha256(payload).digest() != row["media"]:
+                whole = hashlib.sha256(payload)
+                if whole.digest()[:KEY] != row["media"]:
                     raise ValueError("a payload differs")
                 form = row["listing"] + payload
-                out.append((row["media"], len(payload), row["media"].hex(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, len(parts))))
+                out.append((row["media"], len(payload), whole.hexdigest(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, len(parts))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
@@ -170,7 +177,7 @@ def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     payloads = rows.mapInArrow(_payloads, "media binary, packed binary").groupBy("media").agg(F.first("packed").alias("packed"))
     chunk = "array<struct<digest:binary,data:binary>>"
     stored = payloads.join(roles, "media", "left").mapInArrow(_store, f"media binary, listing binary, own {chunk}, shared {chunk}, foreign array<binary>")
-    return survey.select("doc_id", "media", "n_bytes"), common.materialize(stored, "media")
+    return survey.select("doc_id", "media", "n_bytes"), common.materialize(stored, "media", 9)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
