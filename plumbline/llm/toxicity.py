@@ -80,7 +80,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     values = pc.utf8_trim(parts.flatten(), characters=".,;:!?\"'()[]{}#$%&*|<>")
     encoded = values.dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, encoded.dictionary.to_pylist()
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, units.strings_of(encoded.dictionary)
 
 
 def _segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -65,8 +65,11 @@ def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     first = np.zeros(len(raw), np.int64)
     starts = np.concatenate([[0], np.cumsum(by_row)[:-1]]) if len(rows) else np.zeros(0, np.int64)
     first[starts[by_row > 0]] = 1
-    used, codes = np.unique(raw * 2 + first, return_inverse=True)
-    words = encoded.dictionary.to_pylist()
+    wide = raw * 2 + first
+    seen = np.zeros(2 * len(encoded.dictionary), bool)
+    seen[wide] = True
+    used, codes = np.flatnonzero(seen), (np.cumsum(seen) - 1)[wide]
+    words = strings_of(encoded.dictionary)
     vocabulary = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in used.tolist()]
     if odd.any():  # back to the order of the rows
         at = np.empty(len(texts), np.int64)
@@ -75,6 +78,16 @@ def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, counts, vocabulary
 
 
+def strings_of(values: pa.LargeStringArray) -> list[str]:
+    """`values.to_pylist()` for an array without nulls, cut from its buffers."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return []
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every (start, length), one after another."""
     total = int(lengths.sum())
