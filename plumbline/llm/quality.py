@@ -1,12 +1,16 @@
 """Operator 9: quality rules with risk-controlled thresholds.
 
 Base counts per text come from one pass over whole texts. Thresholds are not
-hand-set: for every stratum and rule, labelled good documents are the holdout,
-the number of them that a cutoff would reject is a binomial count, and a cutoff
-may be used only if the exact (Clopper-Pearson) upper bound of its false
-rejection rate stays under the risk. All (stratum, rule, cutoff) tests share
-the error probability by Bonferroni. The strictest certified cutoff is taken;
-where none is certified, the rule is off in that stratum.
+hand-set: labelled good documents are the holdout, the number of them that a set
+of cutoffs would reject is a binomial count, and the set may be used only if the
+exact (Clopper-Pearson) upper bound of its false rejection rate stays under the
+risk. The sets form one ladder from loose to strict, on which a step tightens
+one rule; its order comes from the labelled bad documents alone, so it is fixed
+for the good ones. A stratum climbs until the first step that is not certified
+(fixed-sequence testing), so only the strata share the error probability, not
+the rules or cutoffs. Strata with too few good documents to certify anything
+take the cutoffs certified on the good documents of all strata; for those the
+risk holds over the whole table, not in the stratum.
 
 Defined cases: null text counts as no words; an empty table gives an empty
 result; repeated rows are scored row by row; null strata form their own
@@ -122,28 +126,67 @@ def upper_bound(rejected: int, n: int, delta: float) -> float:
     return high
 
 
+def ladder(bad: dict[str, list[int]]) -> list[tuple[str, float]]:
+    """(rule, cutoff) steps from loose to strict; `bad` has the labelled bad documents above each cutoff of RULES.
+
+    The next step is the one that rejects most more bad documents by its rule;
+    the cutoffs left over reject no more and come last, rule by rule in turn.
+    """
+    at, steps = {r: len(cuts) for r, cuts in RULES.items()}, []
+    while True:
+        gains = []
+        for r, n in bad.items():
+            now = n[at[r]] if at[r] < len(n) else 0
+            more = [i for i in range(at[r]) if n[i] > now]
+            gains += [(n[more[-1]] - now, r, more[-1])] if more else []
+        if not gains:
+            break
+        _, r, at[r] = max(gains, key=lambda g: g[0])
+        steps.append((r, RULES[r][at[r]]))
+    while any(at.values()):
+        for r in [r for r in RULES if at[r]]:
+            at[r] -= 1
+            steps.append((r, RULES[r][at[r]]))
+    return steps
+
+
+def climb(steps: list[tuple[str, float]], firsts: dict[int, int], risk: float, delta: float) -> dict[str, float]:
+    """The last certified cutoffs; `firsts` counts good documents by the first step that rejects them (none: len(steps))."""
+    n, rejected, chosen = sum(firsts.values()), 0, {}
+    for k, (r, cut) in enumerate(steps):
+        rejected += firsts.get(k, 0)
+        if upper_bound(rejected, n, delta) > risk:
+            break
+        chosen[r] = cut
+    return chosen
+
+
 def certified_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str | None, dict[str, float]]:
-    """Per stratum, rule -> the strictest cutoff whose false rejection rate is certified.
+    """Per stratum, rule -> the strictest cutoff reached; all rules of a stratum together keep the risk.
 
     `counts` needs doc_id, the stratum and the base counts; `labels` doc_id and
-    quality (1: good). One aggregate row a stratum goes to the driver. The risk
-    is shared evenly by the rules, so their union keeps it too.
+    quality (1: good). At most a row per stratum and step goes to the driver.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("worst"), F.max("quality").alias("best")).filter("worst = 1 and best = 1").select("doc_id")
-    values = rule_values()
-    held = counts.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [F.count_if(values[r] > c).alias(f"{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
-    rows = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *tests).collect()
-    delta = (1 - confidence) / max(1, len(rows) * len(tests))
-    out: dict[str | None, dict[str, float]] = {}
-    for row in rows:
-        chosen = {}
-        for r, cuts in RULES.items():
-            ok = [c for i, c in enumerate(cuts) if upper_bound(row[f"{r}_{i}"], row["n"], delta) <= risk / len(RULES)]
-            if ok:
-                chosen[r] = min(ok)
-        out[row["stratum"]] = chosen
-    return out
+    clear = labels.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("best")).filter("label = best").select("doc_id", "label")
+    held = counts.filter(~base_failed()).join(clear, "doc_id", "left").select(F.col(stratum).alias("stratum"), "label", *[v.alias(r) for r, v in rule_values().items()])
+    above = held.filter("label = 0").agg(*[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]).first()
+    steps = ladder({r: [above[f"{r}_{i}"] for i in range(len(cuts))] for r, cuts in RULES.items()})
+    first = F.coalesce(*[F.when(F.col(r) > c, F.lit(k)) for k, (r, c) in enumerate(steps)], F.lit(len(steps)))
+    firsts: dict[str | None, dict[int, int]] = {}
+    pooled: dict[int, int] = {}
+    for row in held.groupBy("stratum", F.when(F.col("label") == 1, first).alias("first")).count().collect():
+        own = firsts.setdefault(row["stratum"], {})
+        if row["first"] is not None:
+            own[row["first"]] = row["count"]
+            pooled[row["first"]] = pooled.get(row["first"], 0) + row["count"]
+    # Which strata are tested on their own follows from their sizes alone; the others share one pooled test.
+    sizes = {s: sum(own.values()) for s, own in firsts.items()}
+    tested = sorted(sizes, key=lambda s: -sizes[s])
+    while tested and upper_bound(0, sizes[tested[-1]], (1 - confidence) / (len(tested) + (len(tested) < len(sizes)))) > risk:
+        tested.pop()
+    delta = (1 - confidence) / max(1, len(tested) + (len(tested) < len(sizes)))
+    fallback = climb(steps, pooled, risk, delta)
+    return {s: climb(steps, own, risk, delta) if s in tested else fallback for s, own in firsts.items()}
 
 
 def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:
