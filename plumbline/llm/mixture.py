@@ -162,9 +162,9 @@ def word_count() -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def packed(docs: DataFrame, source: str = "source") -> DataFrame:
-    """doc_id, skey, size, b1, b2, start: every document's place in its source's stream of words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(common.column_or_null(docs, source, "string")).alias("skey"), word_count().alias("size"))
+def packed(docs: DataFrame, source: str = "source", *more: str) -> DataFrame:
+    """doc_id, skey, size, start and the columns `more`: every document's place in its source's stream of words."""
+    rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), source_key(common.column_or_null(docs, source, "string")).alias("skey"), word_count().alias("size"))
     mark = F.xxhash64("doc_id", "size")
     sized = common.materialize(rows.withColumn("b1", F.pmod(mark, F.lit(FANOUT)).cast("int")).withColumn("b2", F.pmod(F.shiftright(mark, 20), F.lit(FANOUT)).cast("int")), "mixture")
     before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -173,8 +173,8 @@ def packed(docs: DataFrame, source: str = "source") -> DataFrame:
     outer = outer.select("skey", "b1", F.coalesce(F.sum("s").over(before(["skey"], ["b1"])), F.lit(0)).alias("o1"))
     inner = inner.select("skey", "b1", "b2", F.coalesce(F.sum("s").over(before(["skey", "b1"], ["b2"])), F.lit(0)).alias("o2"))
     base = inner.join(outer, ["skey", "b1"]).select("skey", "b1", "b2", (F.col("o1") + F.col("o2")).alias("base"))
-    own = sized.withColumn("o3", F.coalesce(F.sum("size").over(before(["skey", "b1", "b2"], ["doc_id", "size"])), F.lit(0)))
-    return own.join(base, ["skey", "b1", "b2"]).select("doc_id", "skey", "size", (F.col("base") + F.col("o3")).alias("start"))
+    own = sized.withColumn("o3", F.coalesce(F.sum("size").over(before(["skey", "b1", "b2"], ["doc_id", "size", *more])), F.lit(0)))
+    return own.join(base, ["skey", "b1", "b2"]).select(*more, "doc_id", "skey", "size", (F.col("base") + F.col("o3")).alias("start"))
 
 
 def plan(sizes: dict[str, int], block: int, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> dict:
@@ -246,17 +246,22 @@ def mixture(docs: DataFrame, source: str = "source", block: int = BLOCK, weights
     return joined.join(table, "skey").select("doc_id", "skey", "size", "source_size", "target", "taken")
 
 
-def taken_documents(docs: DataFrame, source: str = "source", block: int = BLOCK) -> DataFrame:
-    """`docs` mixed in whole documents: those that the mix takes words of, each as often as taken / size, rounded, at least once.
+def taken_documents(docs: DataFrame, source: str = "source", weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """`docs` mixed in whole documents to the same targets: whole epochs of a source, then a prefix of its stream.
 
-    Rows equal in doc_id and size share their copies evenly, rounded up.
+    The prefix has the documents whose middle word lies before its end, so a
+    source's words miss its target by half a document at most.
     """
-    mixed = mixture(docs, source, block).filter("taken > 0")
-    copies = mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.sum(F.greatest(F.round(F.col("taken") / F.col("size")), F.lit(1))).alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    copies = copies.select("_doc", "_size", F.ceil(F.col("_all") / F.col("_rows")).cast("int").alias("_copies"))
-    sized = docs.withColumn("_words", word_count())
-    out = sized.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    streams = common.materialize(packed(rows, source, "_row"), "streams")
+    sizes = {r["skey"]: r["size"] for r in streams.groupBy("skey").agg(F.sum("size").alias("size")).collect()}
+    keys = sorted(sizes)
+    goal = targets([sizes[k] for k in keys], [weights[i % len(weights)] for i in range(len(keys))], epochs)
+    words = [(k, *divmod(min(round(t), epochs * sizes[k]), max(sizes[k], 1))) for k, t in zip(keys, goal, strict=True)]
+    table = docs.sparkSession.createDataFrame(words, "skey string, whole long, rest long")
+    copies = F.col("whole") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
+    chosen = streams.filter("size > 0").join(F.broadcast(table), "skey").select("_row", copies.alias("_copies")).filter("_copies > 0")
+    return rows.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def op3_mixture(spark, sf_dir) -> DataFrame:
