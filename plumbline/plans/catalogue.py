@@ -255,6 +255,18 @@ def word_boundary_rename(t):
     return plain.select("doc_id", F.sha2(text.rename_words(F.col("text"), {"tion": "ACTION", "zq": "ZQ"}), 256).alias("digest"))
 
 
+def _whole_word(inner: str, old: str, new: str) -> str:
+    """ASCII word boundaries without look-around: twice, as neighbours share a boundary."""
+    for _ in range(2):
+        inner = rf"regexp_replace({inner}, '(^|[^A-Za-z0-9_]){old}($|[^A-Za-z0-9_])', '\1{new}\2', 'g')"
+    return inner
+
+
+@query(f"SELECT doc_id, sha256({_whole_word(_whole_word('text', 'tion', 'ACTION'), 'zq', 'ZQ')}) AS digest FROM documents")
+def word_boundary_rename_all(t):
+    return t.table("documents").select("doc_id", F.sha2(text.rename_words(F.col("text"), {"tion": "ACTION", "zq": "ZQ"}), 256).alias("digest"))
+
+
 @query("SELECT p_partkey AS part, regexp_replace(split_part(image, '@', 1), ':[^/:]*$', '') AS repository FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'localhost:5000/' || p_brand WHEN 1 THEN p_brand || ':1.2' WHEN 2 THEN 'reg:80/' || p_brand || ':v3@sha256:ab' ELSE p_brand END AS image FROM part)")
 def image_repositories(t):
     image = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('localhost:5000/', p_brand) WHEN 1 THEN concat(p_brand, ':1.2') WHEN 2 THEN concat('reg:80/', p_brand, ':v3@sha256:ab') ELSE p_brand END")
