@@ -62,6 +62,13 @@ def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return spark.table(table)
 
 
+def least_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the written `rows` with a unique _row, the one with the smallest (doc_id, text digest, _row) of each root (_row, root); null ids last."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("mark"), "_row")
+    least = rows.select("_row", order.alias("rank")).join(roots, "_row").groupBy("root").agg(F.min("rank").alias("least"))
+    return rows.join(least.select(F.col("least._row").alias("_row")), "_row", "left_semi").drop("_row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

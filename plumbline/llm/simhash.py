@@ -297,9 +297,10 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE, hot_rows: int =
 
 
 def one_of_each(docs: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
-    """The documents of `docs` that name their group; of rows with an equal doc_id, one. Rows without doc_id all stay."""
-    kept = near_duplicates(docs, limit).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of `docs` of each group, also among rows with equal or null doc_id."""
+    rows = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), limit)
+    return common.least_of_each(rows, named.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root"))).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir) -> DataFrame:
