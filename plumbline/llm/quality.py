@@ -8,7 +8,8 @@ risk. The sets form one ladder from loose to strict, on which a step tightens
 one rule; its order comes from the labelled bad documents alone, so it is fixed
 for the good ones. A stratum climbs until the first step that is not certified
 (fixed-sequence testing), so only the strata share the error probability, not
-the rules or cutoffs. Strata with too few good documents to certify anything
+the rules or cutoffs. In strata large enough for it, every rule and cutoff is
+tested on its own instead (Bonferroni), so no rule holds up another. Strata with too few good documents to certify anything
 take the cutoffs certified on the good documents of all strata; for those the
 risk holds over the whole table, not in the stratum.
 
@@ -129,20 +130,15 @@ def upper_bound(rejected: int, n: int, delta: float) -> float:
 def ladder(bad: dict[str, list[int]]) -> list[tuple[str, float]]:
     """(rule, cutoff) steps from loose to strict; `bad` has the labelled bad documents above each cutoff of RULES.
 
-    The next step is the one that rejects most more bad documents by its rule;
-    the cutoffs left over reject no more and come last, rule by rule in turn.
+    The rules follow each other by the bad documents they can reject, each down
+    to the loosest cutoff that rejects all of these; the cutoffs left over
+    reject no more and come last, rule by rule in turn.
     """
     at, steps = {r: len(cuts) for r, cuts in RULES.items()}, []
-    while True:
-        gains = []
-        for r, n in bad.items():
-            now = n[at[r]] if at[r] < len(n) else 0
-            more = [i for i in range(at[r]) if n[i] > now]
-            gains += [(n[more[-1]] - now, r, more[-1])] if more else []
-        if not gains:
-            break
-        _, r, at[r] = max(gains, key=lambda g: g[0])
-        steps.append((r, RULES[r][at[r]]))
+    for r in sorted(bad, key=lambda r: -bad[r][0]):
+        while bad[r][0] and (at[r] == len(bad[r]) or bad[r][at[r]] < bad[r][0]):
+            at[r] -= 1
+            steps.append((r, RULES[r][at[r]]))
     while any(at.values()):
         for r in [r for r in RULES if at[r]]:
             at[r] -= 1
@@ -179,14 +175,23 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang
         if row["first"] is not None:
             own[row["first"]] = row["count"]
             pooled[row["first"]] = pooled.get(row["first"], 0) + row["count"]
-    # Which strata are tested on their own follows from their sizes alone; the others share one pooled test.
+    # How a stratum is tested follows from its size alone; those too small for any test of their own share a pooled one.
     sizes = {s: sum(own.values()) for s, own in firsts.items()}
     tested = sorted(sizes, key=lambda s: -sizes[s])
     while tested and upper_bound(0, sizes[tested[-1]], (1 - confidence) / (len(tested) + (len(tested) < len(sizes)))) > risk:
         tested.pop()
     delta = (1 - confidence) / max(1, len(tested) + (len(tested) < len(sizes)))
     fallback = climb(steps, pooled, risk, delta)
-    return {s: climb(steps, own, risk, delta) if s in tested else fallback for s, own in firsts.items()}
+    out = {s: climb(steps, own, risk, delta) if s in tested else fallback for s, own in firsts.items()}
+    # Large strata: every rule and cutoff on its own, the risk shared by the rules and the error by all tests.
+    each = delta / sum(map(len, RULES.values()))
+    if any(upper_bound(0, sizes[s], each) <= risk / len(RULES) for s in tested):
+        tests = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
+        for row in held.filter("label = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests).collect():
+            if row["stratum"] in tested and upper_bound(0, row["n"], each) <= risk / len(RULES):
+                ok = {r: [c for i, c in enumerate(cuts) if upper_bound(row[f"{r}_{i}"], row["n"], each) <= risk / len(RULES)] for r, cuts in RULES.items()}
+                out[row["stratum"]] = {r: min(c) for r, c in ok.items() if c}
+    return out
 
 
 def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:

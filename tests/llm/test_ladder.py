@@ -38,3 +38,13 @@ def test_labelled_junk_is_rejected(spark):
     n = {r.quality: r for r in out.groupBy("quality").agg({"*": "count", "kept": "max"}).collect()}
     kept = {r.quality: r["count"] for r in out.filter("kept").groupBy("quality").count().collect()}
     assert kept.get(0, 0) < n[0]["count(1)"] / 4 and kept[1] >= 0.98 * n[1]["count(1)"]
+
+
+def test_large_strata_test_every_rule(spark):
+    """Good texts with repeated lines stop the ladder; symbols must be cut all the same."""
+    good = " ".join(f"word{i}" for i in range(60))
+    lines = "\n".join([good, "a b", "a b", "a b"])
+    rows = [(i, f"{good} {'#' * 30}" if i % 9 == 0 else lines if i % 9 < 3 else good, "en", int(i % 9 > 0)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    cutoffs = quality.certified_cutoffs(common.materialize(quality.with_counts(df.drop("quality")), "q"), df.select("doc_id", "quality"))
+    assert cutoffs["en"]["symbol_ratio"] == 0.02 and cutoffs["en"]["mean_word_chars"] == 8.0
