@@ -2,15 +2,22 @@
 
 1. Every task cuts its texts into words (units that the tokenizer encodes on
    their own, see `units`), numbers the distinct ones per chunk of texts and
-   writes, per chunk, the words by hash bucket and the texts as word numbers in
-   order of position. The written table fixes the chunks for all later steps.
-2. The words are shuffled by bucket; each bucket encodes every distinct word
-   once and answers each chunk with the ids of its words, in the chunk's order.
+   writes, per chunk, the texts as word numbers in order of position and the
+   words in runs by hash bucket. The written table fixes the chunks for all
+   later steps.
+2. The runs are shuffled by bucket. A task streams its runs bucket by bucket,
+   encodes every distinct word of a bucket once and answers each run with the
+   ids of its words, in their order.
 3. The answers are joined to their chunk, whose table is bucketed so that only
    the answers move, and the ids are laid out by position.
 Decoding maps the ids through the token-byte table, whose size the vocabulary
 fixes. Frequent words cost one entry a chunk, so no key is hot.
 
+Chunks grow with the text and a chunk has MAX_RUNS runs at most, whatever the
+number of partitions, so the runs grow with the text. Tasks hold a chunk, or
+the distinct words of a bucket up to KNOWN_BYTES of ids; beyond that a task
+forgets them and encodes some words again. Texts are laid out a slice at a time.
+
 Defined cases: null text counts as empty and gives no ids; repeated rows are
 encoded row by row; an empty table gives no rows; other columns are ignored.
 """
@@ -24,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,8 +40,12 @@ from pyspark.sql import functions as F
 from plumbline.llm import common, units
 
 #: Bytes of text a chunk; a longer document is a chunk by itself.
-CHUNK_BYTES = 12 << 20
-#: Words of a bucket are joined by this byte, which UTF-8 never contains.
+CHUNK_BYTES = 6 << 20
+#: Runs of words a chunk, at most.
+MAX_RUNS = 1024
+#: Ids of a bucket's words that a task remembers, and words or tokens that are laid out at a time.
+KNOWN_BYTES, SLICE = 16 << 20, 1 << 18
+#: Words of a run are joined by this byte, which UTF-8 never contains.
 SEPARATOR = b"\xff"
 
 
@@ -49,7 +61,7 @@ def _planes(values: np.ndarray) -> bytes:
 
 def _numbers(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return raw.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+    return raw.reshape(4, -1).T.copy().view("<u4").reshape(-1)
 
 
 def _pack(n_buckets: int, limit: int):
@@ -58,17 +70,17 @@ def _pack(n_buckets: int, limit: int):
         part = TaskContext.get().partitionId()
         for seq, table in enumerate(units.chunks(batches, limit)):
             codes, counts, words = units.unitize(table.column("text").chunk(0))
-            encoded = [w.encode() for w in words]
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in encoded), np.int64, len(encoded))
-            # Within a chunk words are numbered by bucket, the frequent ones first.
-            order = np.lexsort((-np.bincount(codes, minlength=len(words)), bucket))
-            number = np.empty(len(words), np.int64)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % n_buckets for w in units.strings_of(words)), np.int32, len(words))
+            # Words are numbered by bucket and in alphabetical order, which compresses well; codes are ranks by frequency.
+            order = pc.sort_indices(pa.table({"b": bucket, "w": words}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+            number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words))
             ends = np.searchsorted(bucket[order], np.arange(n_buckets), "right")
             starts = np.concatenate([[0], ends[:-1]])
-            vocab = [{"bucket": b, "words": zip_(SEPARATOR.join(encoded[i] for i in order[s:e]))} for b, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s]
-            freq = np.lexsort((np.arange(len(words)), -np.bincount(codes, minlength=len(words))))
-            rank = np.empty(len(words), np.int64)
+            sorted_words = words.take(pa.array(order))
+            vocab = [{"bucket": b, "words": zip_(SEPARATOR.join(w.encode() for w in units.strings_of(sorted_words.slice(s, e - s))))} for b, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if e > s]
+            freq = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
             rank[freq] = np.arange(len(words))
             yield pa.RecordBatch.from_pydict(
                 {"chunk": [part << 32 | seq], "doc_ids": [table.column("doc_id").to_pylist()], "counts": [_planes(counts)], "codes": [_planes(rank[codes])], "order": [_planes(number[freq])], "vocab": [vocab]},
@@ -82,38 +94,52 @@ PACKED = "chunk long, doc_ids array<long>, counts binary, codes binary, order bi
 
 
 def _encoder(ranks, pattern: str):
-    """Encodes the distinct words of one bucket; answers each chunk in its own word order."""
+    """Answers the runs, sorted by bucket, with ids in the order of their words."""
 
-    def encode(table: pa.Table) -> pa.Table:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        unzip, known, out = zstandard.ZstdDecompressor().decompress, {}, []
-        for row in table.select(["chunk", "bucket", "words"]).to_pylist():
-            ids = []
-            for w in unzip(row["words"]).split(SEPARATOR):
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = np.array(bpe.encode_ordinary(w.decode()), np.uint32).tobytes()
-                ids.append(got)
-            out.append((row["chunk"], row["bucket"], _planes(np.frombuffer(b"".join(ids), "<u4")), _planes(np.array([len(x) >> 2 for x in ids]))))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "ids", "lengths"])
+        unzip, memory, now = zstandard.ZstdDecompressor().decompress, units.Memory(), None
+
+        def make(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+            ids = [bpe.encode_ordinary(w) for w in units.strings_of(words)]
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        for batch in batches:
+            for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now or memory.flat.nbytes > KNOWN_BYTES:
+                    memory.forget()
+                    now = bucket
+                raw = np.frombuffer(unzip(blob), np.uint8)
+                breaks = np.concatenate([[-1], np.flatnonzero(raw == SEPARATOR[0]), [len(raw)]])
+                lengths = np.diff(breaks) - 1
+                ids, sizes = memory.lookup(units.strings_from(raw[units.ranges(breaks[:-1] + 1, lengths)], lengths), make, keep_all=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, bucket, _planes(ids), _planes(sizes)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "ids", "lengths"])
 
     return encode
 
 
-def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids a document, ids) of each chunk."""
+def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, Iterator[tuple[int, np.ndarray]]]]:
+    """(doc_ids, ids a document, the (document's place, ids) in order) of each chunk; long documents come in several pieces."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             answers = sorted(row["answers"] or [], key=lambda x: x["bucket"])
-            flat = np.concatenate([_numbers(x["ids"]) for x in answers] or [np.zeros(0, np.int64)])
-            lengths = np.concatenate([_numbers(x["lengths"]) for x in answers] or [np.zeros(0, np.int64)])
-            codes = _numbers(row["order"])[_numbers(row["codes"])]
-            counts = _numbers(row["counts"])
-            n = np.add.reduceat(np.append(lengths[codes], 0), np.minimum(np.cumsum(counts) - counts, len(codes))) if len(counts) else counts
-            n = np.where(counts > 0, n, 0)
-            yield row["doc_ids"], n, units.gather(flat, units.starts_of(lengths), lengths, codes)
+            flat = np.concatenate([_numbers(x["ids"]) for x in answers] or [np.zeros(0, np.uint32)])
+            lengths = np.concatenate([_numbers(x["lengths"]) for x in answers] or [np.zeros(0, np.uint32)]).astype(np.int32)
+            order, counts = _numbers(row["order"]).astype(np.int32), _numbers(row["counts"]).astype(np.int64)
+            codes = order[_numbers(row["codes"])]
+            n = np.add.reduceat(np.append(lengths[codes], 0), np.minimum(np.cumsum(counts) - counts, len(codes)), dtype=np.int64) if len(counts) else counts
+
+            def pieces(flat=flat, lengths=lengths, codes=codes, counts=counts):
+                starts, at = units.starts_of(lengths.astype(np.int64)), 0
+                for doc, k in enumerate(counts.tolist()):
+                    for lo in range(at, at + max(k, 1), SLICE):
+                        yield doc, units.gather(flat, starts, lengths, codes[lo : min(lo + SLICE, at + k)])
+                    at += k
+
+            yield row["doc_ids"], np.where(counts > 0, n, 0), pieces()
 
 
 def _digester(ranks):
@@ -123,29 +149,32 @@ def _digester(ranks):
         for b, i in tokens:
             size[i] = len(b)
         flat, starts = np.frombuffer(b"".join(b for b, _ in tokens), np.uint8), units.starts_of(size)
-        for doc_ids, n, ids in _layout(batches):
-            raw, ends, shas, decoded = ids.astype("<u4"), np.cumsum(n), [], []
-            for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                shas.append(hashlib.sha256(raw[s:e].tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(units.gather(flat, starts, size, ids[s:e]).tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc_ids, n, pieces in _layout(batches):
+            shas, decoded = [hashlib.sha256() for _ in doc_ids], [hashlib.sha256() for _ in doc_ids]
+            for doc, ids in pieces:
+                shas[doc].update(ids.astype("<u4").tobytes())
+                for lo in range(0, len(ids), SLICE):
+                    decoded[doc].update(units.gather(flat, starts, size, ids[lo : lo + SLICE]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array([x.hexdigest() for x in shas], pa.string()), pa.array([x.hexdigest() for x in decoded], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_ids, n, ids in _layout(batches):
+    for doc_ids, n, pieces in _layout(batches):
+        ids = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in pieces)])
         ends = np.concatenate([[0], np.cumsum(n)])
-        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))], names=["doc_id", "ids"])
 
 
 def _answered(docs: DataFrame, ranks, pattern: str, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    n_buckets = 2 * common.partitions(spark)
+    n_buckets = min(2 * common.partitions(spark), MAX_RUNS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = common.materialize_bucketed(rows.mapInArrow(_pack(n_buckets, chunk_bytes), PACKED), "bpe", "chunk")
-    words = packed.select("chunk", F.explode("vocab").alias("v")).select("chunk", "v.bucket", "v.words")
-    answers = words.groupBy("bucket").applyInArrow(_encoder(ranks, pattern), "chunk long, bucket int, ids binary, lengths binary")
+    runs = packed.select("chunk", F.explode("vocab").alias("v")).select("chunk", "v.bucket", "v.words")
+    dealt = runs.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket")
+    answers = dealt.mapInArrow(_encoder(ranks, pattern), "chunk long, bucket int, ids binary, lengths binary")
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "lengths")).alias("answers"))
     return packed.drop("vocab").join(by_chunk, "chunk", "left")
 

@@ -19,13 +19,16 @@ other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,8 +43,6 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: A new shard begins once the present one has so many bytes.
 ROLL_BYTES = 256 << 20
 END_ID = 2
-#: Distinct words whose ids a worker keeps, give or take a chunk's.
-CACHE_WORDS = 1_000_000
 CHUNK_BYTES = 8 << 20
 FOOTER = struct.Struct("<QQQQQQIB8s")
 
@@ -204,57 +205,126 @@ class SSTable:
                 yield doc_of(k), self.ids(v)
 
 
-class WordEncoder:
-    """Ids of single words by the tokenizers library, kept for the words that come again.
+def _byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    A comma or full stop after a plain Latin letter is a match of its own under
-    the tokenizer's pattern, so such words share the ids of their stem.
+
+class UnitEncoder:
+    """Ids of units of text (see `units`) by the tokenizers library, as it encodes them with add_special_tokens=False.
+
+    A unit is cut into a line feed before it, a stem and the punctuation after a
+    plain Latin letter, each of which is a match of its own under the
+    tokenizer's pattern. Stems of letters alone are one match; the library
+    encodes a batch of them in one call, in which they are split by line feeds,
+    and the lengths of the tokens tell which ids belong to which. All other
+    parts go to the library one by one. The parts of the last chunk are
+    remembered, no others, so memory is bounded by the size of a chunk.
     """
 
+    #: Letters in every version of Unicode in use, and the ends of units that may follow them; the apostrophe begins contractions.
+    LETTERS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{233}"
+    PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+    JOINED, BATCH = 1000, 16
+
     def __init__(self, tokenizer_json: str, width: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
-        self.words: dict[str, bytes] = {}
-        self.ends = dict(zip(".,", self._encode([".", ","]), strict=True))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        code = {2: "H", 4: "I"}[self.width]
-        found = (e.ids for i in range(0, len(words), 10_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in found]
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, packed."""
-        stems = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "\u0234" else w for w in words]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        new = [w for w in dict.fromkeys(stems) if w not in known]
-        known.update(zip(new, self._encode(new), strict=True))
-        return [known[s] if len(s) == len(w) else known[s] + self.ends[w[-1]] for s, w in zip(stems, words, strict=True)]
-
-
-#: One encoder a Python worker, so that its tasks share the words already met.
-_ENCODERS: dict[tuple, WordEncoder] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec, model = json.loads(tokenizer_json), self.tokenizer.model
+        pre = spec.get("pre_tokenizer") or {}
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.plain = byte_level and isinstance(model, models.BPE) and not (model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
+        if self.plain:
+            self.joined = Tokenizer(model)
+            self.joined.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.size[list(vocab.values())] = list(map(len, vocab))
+            self.table = _byte_characters() | {0x0A: "\n"}
+            self.punctuated = f"[{self.LETTERS}][{re.escape(self.PUNCTUATION)}]+\\z"
+            self.alphabetic = rf"\A ?[{self.LETTERS}]+\z"
+        self.memory = units.Memory()
+
+    def _singly(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after another; ids a word), every word on its own."""
+        ids, lengths = [], []
+        for lo in range(0, len(words), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(units.strings_of(words.slice(lo, 10_000)), add_special_tokens=False)]
+            lengths += map(len, found)
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(lengths, np.int64)
+
+    def _letters(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, with or without a space before."""
+        ids, lengths = [], []
+        for lo in range(0, len(words), self.JOINED * self.BATCH):
+            some = words.slice(lo, self.JOINED * self.BATCH)
+            bounds = [*range(0, len(some), self.JOINED), len(some)]
+            raws = [x.as_py().encode() for x in pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), some), pa.scalar("\n", pa.large_string()))]
+            for raw, found in zip(raws, self.joined.encode_batch_fast([r.decode("latin-1").translate(self.table) for r in raws], add_special_tokens=False), strict=True):
+                got = np.array(found.ids, np.uint32)
+                breaks = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw))
+                ends = np.searchsorted(np.cumsum(self.size[got]), breaks - np.arange(len(breaks))) + 1
+                ids.append(got)
+                lengths.append(np.diff(ends, prepend=0))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lengths])
+
+    def _parts(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct parts, ids a part)."""
+        letters = pc.match_substring_regex(parts, self.alphabetic)
+        (a, n), (b, m) = self._letters(parts.filter(letters)), self._singly(parts.filter(pc.invert(letters)))
+        was = letters.to_numpy(zero_copy_only=False)
+        sizes, place = np.concatenate([n, m]), np.empty(len(parts), np.int64)
+        place[was], place[~was] = np.arange(len(n)), len(n) + np.arange(len(m))
+        return units.gather(np.concatenate([a, b]), units.starts_of(sizes), sizes, place), sizes[place]
+
+    def encode(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, one after another; ids a unit)."""
+        if not self.plain:
+            return self._singly(words)
+        data, start, size = units.layout_of(words)
+        cut = pc.match_substring_regex(words, self.punctuated)
+        line = pc.and_(pc.starts_with(words, "\n"), pc.match_substring_regex(words, r"\A\n\S"))
+        for token in self.special:
+            free = pc.invert(pc.match_substring(words, token))
+            cut, line = pc.and_(cut, free), pc.and_(line, free)
+        cut, line = (x.to_numpy(zero_copy_only=False) for x in (cut, line))
+        stem = size.copy()
+        stem[cut] = units.layout_of(pc.utf8_rtrim(words.filter(pa.array(cut)), self.PUNCTUATION))[2]
+        pieces = np.stack([line, stem - line, size - stem])  # bytes of the line feed, the stem and the end
+        starts = np.stack([start, start + line, start + stem])
+        lengths, starts = pieces.T.ravel(), starts.T.ravel()
+        there = np.flatnonzero(lengths)
+        parts = units.strings_from(data[units.ranges(starts[there], lengths[there])], lengths[there]).dictionary_encode()
+        ids, sizes = self.memory.lookup(parts.dictionary, self._parts)
+        codes = parts.indices.to_numpy(zero_copy_only=False)
+        each = np.zeros(len(lengths), np.int64)
+        each[there] = sizes[codes]
+        return units.gather(ids, units.starts_of(sizes), sizes, codes), each.reshape(-1, 3).sum(1)
+
+
+#: One encoder a Python worker; besides the tokenizer it holds the parts of one chunk.
+_ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
 def _writer(base: str, tokenizer_json, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (zlib.crc32(tokenizer_json.value.encode()), end_id >= 1 << 16)
         if key not in _ENCODERS:
-            _ENCODERS[key] = WordEncoder(tokenizer_json.value, 4 if key[1] else None)
+            _ENCODERS[key] = UnitEncoder(tokenizer_json.value, 4 if key[1] else None)
         encoder = _ENCODERS[key]
         width, context, done, out = encoder.width, TaskContext.get(), [], None
         end = end_id.to_bytes(width, "little")
         for table in units.chunks(batches, CHUNK_BYTES):
             codes, counts, words = units.unitize(table.column("text").chunk(0))
-            values = encoder.encode(words)
-            flat = np.frombuffer(b"".join(values), f"<u{width}")
-            lengths = np.fromiter((len(v) // width for v in values), np.int64, len(values))
-            at, starts = 0, units.starts_of(lengths)
+            flat, lengths = encoder.encode(words)
+            flat, at, starts = flat.astype(f"<u{width}"), 0, units.starts_of(lengths)
             for doc_id, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                 if out is None:
                     path = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):03d}.sst"

@@ -1,9 +1,10 @@
 """Cuts texts into units that a byte-level BPE tokenizer encodes independently.
 
-The tokenizers' pattern always ends a match before a single space that stands
-between two characters that are no white space, and what it matches after that
-space never depends on what came before. So a text may be cut at each such
-space; the ids of the pieces, concatenated, are the ids of the text.
+The tokenizers' pattern always ends a match before a single space or line feed
+that stands between two characters that are no white space, and what it matches
+from there on never depends on what came before. So a text may be cut at each
+such place; the ids of the pieces, concatenated, are the ids of the text. Line
+feeds are cut at only in texts in which every one of them stands so.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts in which some space touches other white space, or an end of the text.
 IRREGULAR = rf"(?s)\A | \z|[{_WS}] | [{_WS}]"
+#: The same for line feeds.
+IRREGULAR_LINES = rf"(?s)\A\n|\n\z|[{_WS}]\n|\n[{_WS}]"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
@@ -40,7 +43,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text")
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
     """(codes, units a text, vocabulary): the text of row i is the join of vocabulary[c] for its codes c.
 
     Null is an empty text. The vocabulary holds every distinct unit once.
@@ -48,7 +51,8 @@ def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
     plain = texts.filter(pa.array(~odd))
-    parts = pc.split_pattern(plain, " ")
+    lines = pc.and_(pc.match_substring(plain, "\n"), pc.invert(pc.match_substring_regex(plain, IRREGULAR_LINES)))
+    parts = pc.split_pattern(pc.if_else(lines, pc.replace_substring(plain, "\n", " \n"), plain), " ")
     values = [parts.flatten()]
     counts = np.zeros(len(texts), np.int64)
     counts[~odd] = pc.list_value_length(parts).to_numpy(zero_copy_only=False) if len(plain) else 0
@@ -60,18 +64,23 @@ def unitize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         order.append(np.flatnonzero(odd))
     rows = np.concatenate(order)
     encoded = pa.concat_arrays([v.cast(pa.large_string()) for v in values]).dictionary_encode()
-    raw = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = encoded.indices.to_numpy(zero_copy_only=False)
     by_row = counts[rows]
-    first = np.zeros(len(raw), np.int64)
+    first = np.zeros(len(raw), bool)
     starts = np.concatenate([[0], np.cumsum(by_row)[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    first[starts[by_row > 0]] = 1
-    wide = raw * 2 + first
-    seen = np.zeros(2 * len(encoded.dictionary), bool)
+    first[starts[by_row > 0]] = True
+    words = encoded.dictionary
+    # A part keeps the space before it, but for a text's first one and those that begin with a cut line feed.
+    bare = first | pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)[raw]
+    wide = raw * 2 + ~bare
+    seen = np.zeros(2 * len(words), bool)
     seen[wide] = True
-    used, codes = np.flatnonzero(seen), (np.cumsum(seen) - 1)[wide]
-    words = strings_of(encoded.dictionary)
-    vocabulary = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in used.tolist()]
-    if odd.any():  # back to the order of the rows
+    used, codes = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - np.int32(1))[wide]
+    prefix = pa.array(["", " "], pa.large_string()).take(pa.array(used & 1))
+    vocabulary = pc.binary_join_element_wise(prefix, words.take(pa.array(used >> 1)), pa.scalar("", pa.large_string()))
+    if odd.any():  # a text may begin with a space of its own; and back to the order of the rows
+        unique = vocabulary.dictionary_encode()
+        codes, vocabulary = unique.indices.to_numpy(zero_copy_only=False)[codes], unique.dictionary
         at = np.empty(len(texts), np.int64)
         at[rows] = starts
         codes = codes[ranges(at, counts)]
@@ -88,6 +97,35 @@ def strings_of(values: pa.LargeStringArray) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
 
 
+class Memory:
+    """Remembers what has been made of strings: numbers of any count a string."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def lookup(self, strings: pa.LargeStringArray, make, keep_all: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all distinct `strings`, one after another; numbers a string); `make` gives both for those not remembered.
+
+        Afterwards the memory holds these strings and, where asked to keep all, those of before.
+        """
+        at = pc.index_in(strings, value_set=self.seen)
+        old = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        fresh = strings.filter(pa.array(~old))
+        flat, sizes = make(fresh)
+        place = np.empty(len(strings), np.int64)
+        place[old], place[~old] = at.drop_null().to_numpy(zero_copy_only=False), len(self.sizes) + np.arange(len(fresh))
+        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        out = gather(flat, starts_of(sizes), sizes, place), sizes[place]
+        if keep_all:
+            self.seen, self.flat, self.sizes = pa.concat_arrays([self.seen, fresh]), flat, sizes
+        else:
+            self.seen, self.flat, self.sizes = strings, *out
+        return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every (start, length), one after another."""
     total = int(lengths.sum())
@@ -95,6 +133,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
+def layout_of(values: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, length) of the strings of an array without nulls."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], np.diff(at)
+
+
+def strings_from(flat: np.ndarray, lengths: np.ndarray) -> pa.LargeStringArray:
+    """The strings whose UTF-8 bytes follow each other in `flat`."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat)))
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Where each code's items begin when the items of all codes follow one another."""
     return np.cumsum(lengths) - lengths

@@ -1,6 +1,7 @@
 """Operators 4 and 6 against the libraries on whole texts."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -20,8 +21,11 @@ def tik():
 
 
 def test_units_rebuild_and_encode_alike(tik):
-    texts = ["", " ", "a", "a b", " a", "a ", "a  b", "a \nb", "a\n b", "x  y", "x  y", "it's 'tis", "\x1c a\x1c b", "é è  ê\t\t z", None]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\n", "\t", "a", "bc", "É", "9", ".", "'s", "’", "\u00a0"]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    texts += ["", " ", "a", "a b", " a", "a ", "a  b", "a \nb", "a\n b", "x  y", "x  y", "it's 'tis", "\x1c a\x1c b", "é è  ê\t\t z", None]
     codes, counts, vocabulary = units.unitize(pa.array(texts, pa.string()))
+    vocabulary = vocabulary.to_pylist()
     assert len(set(vocabulary)) == len(vocabulary)
     at = 0
     for t, n in zip(texts, counts):
@@ -58,7 +62,6 @@ def check_sst(df):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     docs = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()))
     want, at = [], 0
     for r in docs:
@@ -76,6 +79,36 @@ def test_sstable_edge_cases(spark):
     assert empty.count() == 0 and sstable.read_shards(empty).count() == 0
 
 
+def test_unit_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        raw = f.read()
+    model, encoder = Tokenizer.from_str(raw), sstable.UnitEncoder(raw)
+    assert encoder.plain
+    rng = random.Random(4)
+    words = ["", " ", " x<|endoftext|>", "<|endoftext|>", " <|endoftext|>.", "\n<|endoftext|>", " don't.", " 'tis", " a's.", " é..", " a1.", " ...", " ab.'s", "a\n.b.", " ʼn.", " ªb", " abc’s.", "\n", "\nab.", "\n\nab", "\n ab."]
+    words += [rng.choice(["", " ", "\n"]) + "".join(rng.choice("abcXéß.,;!'9–") for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    for part in (words[:2500], words[1500:], words[:10], []):
+        part = list(dict.fromkeys(part))
+        ids, lengths = encoder.encode(pa.array(part, pa.large_string()))
+        want = [model.encode(w, add_special_tokens=False).ids for w in part]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_texts_of_megabytes(spark, tik):
+    rng = random.Random(6)
+    texts = [" ".join(fixtures.words(rng, 50) for _ in range(6000)) + "\n", "ab" * 600_000, "x.\n" * 400_000, "short <|endoftext|> text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_bpe(df.filter("doc_id <> 1"), tik)
+    check_sst(df.filter("doc_id <> 1"))
+
+
+def test_a_bucket_forgets_words(spark, tik, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_RUNS", 3)
+    check_bpe(common.documents(spark, "/root/testdata/sf0.001"), tik, chunk_bytes=20_000)
+
+
 def test_sstable_lookup(spark):
     df = common.documents(spark, "/root/testdata/sf0.001")
     listing = check_sst(df)
