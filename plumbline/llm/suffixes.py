@@ -6,20 +6,29 @@ the input and never cross documents.
 
 1. Each LENGTH-byte window has an anchor, its least-hashed GRAM-byte string, so
    equal windows have equal anchors at equal places. A run of windows with one
-   anchor is a segment of LENGTH to LENGTH + REACH bytes. Tasks keep the first
-   of equal segments and send it to a bucket by its anchor's hash.
-2. In a bucket, equal segments leave all but the first occurrence as repeats.
-   Anchors with two or more different segments ask for the segments' bytes.
-3. The bytes of those meet by anchor. An enhanced suffix array (suffixes sorted
-   by prefix doubling, common-prefix lengths) is scanned with a stack that holds
-   the open intervals of the common-prefix tree; an interval whose suffixes have
-   different left neighbours, or stand at a segment's start, is a maximal repeat
-   and is put out with all its occurrences. All but the first are repeats.
-4. Repeats are joined to their documents and cut out.
-
-A frequent passage costs a task one row a segment, whatever its copies; what is
-left of it in a bucket are its distinct contexts. The texts are written once,
-bucketed by doc_id, so steps 3 and 4 move only positions and asked segments.
+   anchor is a segment of LENGTH to LENGTH + REACH bytes, known by its anchor, a
+   digest of 128 bits and its length.
+2. Segments are shuffled and sorted by anchor and digest and streamed. All but
+   the first of equal segments are copies, each kept with the place of the one
+   it repeats; runs of copies with one source are one row. Tasks collapse equal
+   segments of a chunk before the shuffle. Anchors with two or more different
+   segments ask for the bytes of the first of each.
+3. These bytes are shuffled and sorted by anchor and streamed in blocks of whole
+   anchors. A block's enhanced suffix array (suffixes sorted by prefix doubling,
+   common-prefix lengths) is scanned with a stack that holds the open intervals
+   of the common-prefix tree; an interval whose suffixes have different left
+   neighbours, or stand at a segment's start, is a maximal repeat and is put out
+   with all its occurrences. All but the first are repeats. Occurrences in
+   copies are reached through the copies' sources (`occurrences`).
+4. Copies and repeats are joined to their documents and cut out.
+
+No key is hot: a passage that many documents share has one segment a chunk
+where its segments are equal, and where it borders on different text its
+anchors have so many contexts that a first pass finds them (`hot_anchors`); the
+windows of such segments are segments of their own, each with an anchor of its
+own, in every chunk. An anchor that is not hot has a bounded share of all
+segments. The texts are written once, bucketed by doc_id, so steps 3 and 4 move
+only positions and asked segments.
 
 Defined cases: null text is empty; a null doc_id comes after all others; rows
 equal in doc_id and text are one document, each of them reported; rows equal in
@@ -34,7 +43,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +54,23 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 CHUNK_BYTES, BLOCK = 8 << 20, 1 << 18
 NO_ID = (1 << 63) - 1
+#: An anchor is a candidate in chunks where it has so many contexts, and hot if it has more of them than one in MOST_HOT of all segments.
+HOT_CONTEXTS, MOST_HOT = 16, 1 << 17
+#: Bytes of segments that share a suffix array, anchors kept whole.
+TREE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(1973)
-TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two independent hashes: a random number for each byte, and the factor of a step.
+TABLES = tuple(_rng.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2))
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n not in _powers:
-        _powers.clear()
+def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if (which, n) not in _powers:
         make = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))])
-        _powers[n] = make(BASE), make(INVERSE)
-    return _powers[n]
+        _powers[which, n] = make(np.uint64(BASES[which])), make(np.uint64(pow(BASES[which], -1, 1 << 64)))
+    return _powers[which, n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,13 +78,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, start, length) of the segments of a buffer.
+def segments(data: np.ndarray, valid: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor hash, digest's two halves, start, length) of the segments of a buffer.
 
-    `valid` marks the places at which a window starts, none of which crosses a document's end.
+    `valid` marks the places at which a window starts, none of which crosses a
+    document's end. Segments of the anchors `hot` (sorted) come window by window.
     """
     found = []
-    power, inverse = _power_tables(BLOCK + LENGTH)
+    tables = [_power_tables(k, BLOCK + LENGTH) for k in range(2)]
     low = np.uint64((1 << 20) - 1)
     for at in range(0, len(data), BLOCK):
         piece = data[at : at + BLOCK + LENGTH - 1]
@@ -81,8 +95,8 @@ def segments(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         starts = np.flatnonzero(valid[at : at + n])
         if not len(starts):
             continue
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[piece] * inverse[: len(piece)])])
-        grams = _mix((sums[GRAM:] - sums[:-GRAM]) * power[: len(sums) - GRAM])
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(t[piece] * inverse[: len(piece)])]) for t, (_, inverse) in zip(TABLES, tables, strict=True)]
+        grams = _mix((sums[0][GRAM:] - sums[0][:-GRAM]) * tables[0][0][: len(sums[0]) - GRAM])
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while width * 2 <= REACH + 1:
@@ -94,30 +108,20 @@ def segments(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1])])
         s = starts[new]
         e = starts[np.concatenate([new[1:], [True]])] + LENGTH
-        found.append((grams[anchor[new]], _mix((sums[e] - sums[s]) * power[s]), s + at, e - s))
+        name = grams[anchor[new]]
+        split = np.zeros(len(name), bool) if hot is None or not len(hot) else hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+        if split.any():
+            windows = units.ranges(s[split], e[split] - s[split] - LENGTH + 1)
+            s, e = np.concatenate([s[~split], windows]), np.concatenate([e[~split], windows + LENGTH])
+        digest = [_mix((x[e] - x[s]) * power[s]) for x, (power, _) in zip(sums, tables, strict=True)]
+        if split.any():
+            name = np.concatenate([name[~split], digest[0][len(s) - len(windows) :]])
+        found.append((name, *digest, s + at, e - s))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (*(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-SEGMENT = (("anchor", "<u8"), ("content", "<u8"), ("oid", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("size", "u1"))
-REPEAT = (("oid", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("finish", "<u4"))
-
-
-def _pack(spec, columns) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype(t).tobytes() for (_, t), c in zip(spec, columns, strict=True)))
-
-
-def _unpack(spec, blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, at, out = len(raw) // sum(np.dtype(t).itemsize for _, t in spec), 0, []
-    for _, t in spec:
-        size = np.dtype(t).itemsize * n
-        out.append(np.frombuffer(raw[at : at + size], t))
-        at += size
-    return out
-
-
 def merged(doc: np.ndarray, start: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, ...]:
     """The runs of overlapping or touching intervals of each document."""
     if not len(doc):
@@ -138,90 +142,132 @@ def _chunk(table: pa.Table):
     order = np.lexsort((tie, oid))
     keep = np.concatenate([[True], (oid[order][1:] != oid[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
     order = order[keep]
-    texts = [table.column("text")[int(i)].as_py() or b"" for i in order]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    valid = np.ones(len(data), bool)
-    for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        valid[max(s, e - LENGTH + 1) : e] = False
-    return oid[order], tie[order], data, ends - sizes, valid
+    texts = table.column("text").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+    data, begin, sizes = units.layout_of(texts)
+    data, begin = data[begin[0] : begin[-1] + sizes[-1]], begin - begin[0]
+    # A window starts where LENGTH bytes are left.
+    steps = np.zeros(len(data) + 1, np.int8)
+    ends = begin + sizes
+    enough = sizes >= LENGTH
+    np.add.at(steps, begin[enough], 1)
+    np.add.at(steps, ends[enough] - LENGTH + 1, -1)
+    return oid[order], tie[order], data, begin, np.cumsum(steps[:-1], dtype=np.int8) > 0
+
+
+def _hot_scanner(contexts: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, contexts) of a chunk's anchors with many contexts; the row of null has the segments of the chunk."""
+        for table in units.chunks(batches, CHUNK_BYTES):
+            _, _, data, _, valid = _chunk(table)
+            anchor, half, *_ = segments(data, valid)
+            order = np.lexsort((half, anchor))
+            anchor, half = anchor[order], half[order]
+            distinct = np.ones(len(anchor), bool)
+            distinct[1:] = (anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1])
+            names, counts = np.unique(anchor[distinct], return_counts=True)
+            many = counts >= contexts
+            yield pa.RecordBatch.from_arrays([pa.array([None, *names[many].view(np.int64).tolist()], pa.int64()), pa.array([len(anchor), *counts[many].tolist()], pa.int64())], names=["anchor", "n"])
+
+    return scan
+
+
+def hot_anchors(texts: DataFrame, contexts: int = HOT_CONTEXTS) -> np.ndarray:
+    """The sorted anchors with a great share of all segments, MOST_HOT at most."""
+    counted = texts.select("oid", "tie", "text").mapInArrow(_hot_scanner(contexts), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = common.materialize(counted, "anchors")
+    total = counted.filter("anchor IS NULL").first()
+    least = max(4 * contexts, -(-total["n"] // MOST_HOT)) if total else 0
+    return np.sort(np.array([r["anchor"] for r in counted.filter((F.col("anchor").isNotNull()) & (F.col("n") >= least)).select("anchor").collect()], np.int64).view(np.uint64))
+
 
+#: A segment; of a copy, anchor, half and other half are the start, oid and tie of what it repeats.
+SEGMENT = "copy boolean, anchor long, half long, other long, size long, oid long, tie long, start long"
+_SEGMENT = pa.schema([("copy", pa.bool_()), *((c.split()[0], pa.int64()) for c in SEGMENT.split(", ")[1:])])
 
-def _scanner(n_buckets: int):
+
+def _scanner(hot):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in units.chunks(batches, CHUNK_BYTES):
             oid, tie, data, begin, valid = _chunk(table)
-            anchor, content, at, size = segments(data, valid)
+            anchor, half, other, at, size = segments(data, valid, hot.value)
             doc = np.searchsorted(begin, at, "right") - 1
             # Empty documents begin where the next one does; the last of them holds the bytes.
             start = at - begin[doc]
-            order = np.lexsort((at, size, content, anchor))
-            anchor, content, doc, start, size = (x[order] for x in (anchor, content, doc, start, size))
+            order = np.lexsort((at, size, other, half, anchor))
+            anchor, half, other, doc, start, size = (x[order] for x in (anchor, half, other, doc, start, size))
             first = np.ones(len(anchor), bool)
-            first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
-            rows = []
-            if not first.all():
-                d, s, e = merged(doc[~first], start[~first], (start + size)[~first])
-                step = max(1, -(-len(d) // n_buckets))
-                rows += [(i // step % n_buckets, None, _pack(REPEAT, (oid[d[i : i + step]], tie[d[i : i + step]], s[i : i + step], e[i : i + step]))) for i in range(0, len(d), step)]
-            columns = [anchor[first], content[first], oid[doc[first]], tie[doc[first]], start[first], size[first]]
-            bucket = (columns[0] % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            columns = [c[by] for c in columns]
-            edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            rows += [(b, _pack(SEGMENT, [c[lo:hi] for c in columns]), None) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if hi > lo]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "segments", "repeats"])
+            first[1:] = (anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1]) | (other[1:] != other[:-1]) | (size[1:] != size[:-1])
+            of = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, np.int64)
+            # Copies of one source at one distance are one run.
+            c = np.flatnonzero(~first)
+            runs = np.stack([doc[c], doc[of[c]], start[c] - start[of[c]]], axis=1)
+            kinds, kind = np.unique(runs, axis=0, return_inverse=True) if len(c) else (runs, c)
+            kind, s, e = merged(kind.ravel(), start[c], start[c] + size[c])
+            d, source, shift = kinds[kind].T
+            columns = [(np.zeros(int(first.sum()), bool), np.ones(len(s), bool)), (anchor[first].view(np.int64), s - shift), (half[first].view(np.int64), oid[source]), (other[first].view(np.int64), tie[source]), (size[first], e - s), (oid[doc[first]], oid[d]), (tie[doc[first]], tie[d]), (start[first], s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], schema=_SEGMENT)
 
     return scan
 
 
-FOUND = "asked boolean, oid long, tie long, start long, finish long, anchor long"
+#: copy: these bytes repeat those at s_oid, s_tie, s_start; else: the bytes are asked for.
+FOUND = "copy boolean, anchor long, oid long, tie long, start long, finish long, s_oid long, s_tie long, s_start long"
+_FOUND = pa.schema([("copy", pa.bool_()), *((c.split()[0], pa.int64()) for c in FOUND.split(", ")[1:])])
 
 
-def _found(asked: bool, oid, tie, start, finish, anchor) -> pa.Table:
-    arrays = [np.full(len(oid), asked), oid.astype(np.int64), tie.astype(np.int64), start.astype(np.int64), finish.astype(np.int64), anchor.view(np.int64) if len(anchor) else np.zeros(len(oid), np.int64)]
-    return pa.table([pa.array(a) for a in arrays], names=["asked", "oid", "tie", "start", "finish", "anchor"])
+def _found(copy: bool, anchor, oid, tie, start, size, source=None) -> pa.RecordBatch:
+    arrays = [pa.array(x) for x in (anchor, oid, tie, start, start + size)]
+    sources = [pa.array(x) for x in source] if source else [pa.nulls(len(oid), pa.int64())] * 3
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(oid), copy)), *arrays, *sources], schema=_FOUND)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Repeats of a bucket: what tasks found, and all but the first of equal segments. `asked` rows ask for bytes."""
-    none = np.zeros(0, np.uint64)
-    local = [_unpack(REPEAT, b) for b in table.column("repeats").to_pylist() if b is not None]
-    out = [_found(False, *(np.concatenate(c) for c in zip(*local, strict=True)), none)] if local else []
-    held = [_unpack(SEGMENT, b) for b in table.column("segments").to_pylist() if b is not None]
-    if held:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        _, which, counts = np.unique(columns[0], return_inverse=True, return_counts=True)
-        columns = [c[counts[which] > 1] for c in columns]
-        order = np.lexsort((columns[4], columns[3], columns[2], columns[5], columns[1], columns[0]))
-        anchor, content, oid, tie, start, size = (c[order] for c in columns)
-        finish = start.astype(np.int64) + size
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams segments sorted by anchor, digest, size and place: all but the first of equal ones are copies,
+    and anchors with different ones ask for the first of each. Between batches only the last of these is held.
+    """
+    lead, asked = None, False
+    for batch in batches:
+        copy = batch.column(0).to_numpy(zero_copy_only=False)
+        columns = [c.to_numpy() for c in batch.columns[1:]]
+        if copy.any():
+            s_start, s_oid, s_tie, size, oid, tie, start = (c[copy] for c in columns)
+            yield _found(True, np.zeros(len(oid), np.int64), oid, tie, start, size, (s_oid, s_tie, s_start))
+        columns = [c[~copy] for c in columns]
+        if not len(columns[0]):
+            continue
+        if lead is not None:
+            columns = [np.concatenate([[x], c]) for x, c in zip(lead, columns, strict=True)]
+        anchor, half, other, size, oid, tie, start = columns
         first = np.ones(len(anchor), bool)
-        first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
-        of = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, np.int64)
-        later = ~first & ((oid != oid[of]) | (tie != tie[of]) | (start != start[of]))
-        out.append(_found(False, oid[later], tie[later], start[later], finish[later], none))
-        a = anchor[first]
-        _, which, counts = np.unique(a, return_inverse=True, return_counts=True)
-        ask = np.flatnonzero(first)[counts[which] > 1]
-        out.append(_found(True, oid[ask], tie[ask], start[ask], finish[ask], anchor[ask]))
-    return pa.concat_tables(out) if out else _found(False, *[np.zeros(0, np.int64)] * 4, none)
-
-
-def _fetcher(n_buckets: int):
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                text = row["text"] or b""
-                for w in row["wanted"]:
-                    rows.append((w["anchor"] % n_buckets, row["oid"], row["tie"], w["start"], text[w["start"] : w["finish"]]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["bucket", "oid", "tie", "start", "data"])
-
-    return fetch
+        first[1:] = (anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1]) | (other[1:] != other[:-1]) | (size[1:] != size[:-1])
+        heads = np.flatnonzero(first)
+        of = heads[np.cumsum(first) - 1]
+        later = np.flatnonzero(~first & ((oid != oid[of]) | (tie != tie[of]) | (start != start[of])))
+        by = of[later]
+        yield _found(True, anchor[later], oid[later], tie[later], start[later], size[later], (oid[by], tie[by], start[by]))
+        group = np.cumsum(np.concatenate([[0], anchor[heads[1:]] != anchor[heads[:-1]]]))
+        ask = np.bincount(group) > 1
+        old = lead is not None and asked
+        ask[0] |= old
+        rows = heads[ask[group]]
+        rows = rows[1:] if old else rows
+        yield _found(False, anchor[rows], oid[rows], tie[rows], start[rows], size[rows])
+        lead, asked = [c[heads[-1]] for c in columns], bool(ask[-1])
+
+
+PIECE = "anchor long, oid long, tie long, start long, data binary"
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text, wanted = batch.column(2)[i].as_buffer(), batch.column(3)[i].values
+            data = np.frombuffer(text, np.uint8)
+            start, finish = wanted.field("start").to_numpy(), wanted.field("finish").to_numpy()
+            pieces = units.strings_from(data[units.ranges(start, finish - start)], finish - start)
+            out = [wanted.field("anchor"), pa.repeat(batch.column(0)[i], len(start)), pa.repeat(batch.column(1)[i], len(start)), pa.array(start), pieces.view(pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(out, kinds, strict=True)], names=["anchor", "oid", "tie", "start", "data"])
 
 
 class SuffixArray:
@@ -312,9 +358,8 @@ class SuffixArray:
 REPEATS = "grp long, size long, oid long, tie long, start long, first boolean"
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Maximal repeats of a bucket's segments, a row an occurrence; the first in document order is marked."""
-    table = table.sort_by([("oid", "ascending"), ("tie", "ascending"), ("start", "ascending")])
+def _block_repeats(table: pa.Table, base: int) -> tuple[pa.RecordBatch, int]:
+    """Maximal repeats of a block of segments, a row an occurrence, numbered from `base`; the first in document order is marked."""
     pieces = table.column("data").to_pylist()
     tree = SuffixArray(pieces, LENGTH)
     oid, tie, start = (table.column(c).to_numpy() for c in ("oid", "tie", "start"))
@@ -333,7 +378,29 @@ def _repeats(table: pa.Table) -> pa.Table:
         # Pieces of a document may overlap; one occurrence can stand in the array twice.
         head = lead[np.searchsorted(grp[lead], grp)]
         first = (o[at] == o[at][head]) & (t[at] == t[at][head]) & (s[at] == s[at][head])
-    return pa.table([pa.array(x) for x in (grp, size[grp], o[at], t[at], s[at], first)], names=["grp", "size", "oid", "tie", "start", "first"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (base + grp, size[grp], o[at], t[at], s[at], first)], names=["grp", "size", "oid", "tie", "start", "first"]), len(low)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams pieces sorted by anchor in blocks of TREE_BYTES or more, cut where the anchor changes."""
+    base, held, size = TaskContext.get().partitionId() << 40, [], 0
+    for batch in batches:
+        anchor = batch.column(0).to_numpy()
+        ends = np.cumsum(pc.binary_length(batch.column(4)).to_numpy())
+        at = 0
+        last = held[-1].column(0)[-1].as_py() if held else None
+        for cut in [c for c in np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])).tolist() if c or (last is not None and anchor[0] != last)]:
+            before = size + int(ends[cut - 1] - (ends[at - 1] if at else 0)) if cut else size
+            if before >= TREE_BYTES:
+                block = [*held, batch.slice(at, cut - at)] if cut > at else held
+                out, n = _block_repeats(pa.Table.from_batches(block), base)
+                yield out
+                base, held, size, at = base + n, [], 0, cut
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            size += int(ends[-1] - (ends[at - 1] if at else 0))
+    if held:
+        yield _block_repeats(pa.Table.from_batches(held), base)[0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,24 +429,47 @@ def written_texts(docs: DataFrame) -> DataFrame:
     return common.materialize_bucketed(keyed, "texts", "oid")
 
 
-def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(oid, tie, start, finish of segments that repeat an earlier one; the maximal repeats with all occurrences)."""
-    n = 2 * common.partitions(texts.sparkSession)
-    scanned = texts.select("oid", "tie", "text").mapInArrow(_scanner(n), "bucket int, segments binary, repeats binary")
-    found = common.materialize(scanned.groupBy("bucket").applyInArrow(_settle, FOUND), "segments")
-    wanted = found.filter("asked").groupBy("oid", "tie").agg(F.collect_list(F.struct("start", "finish", "anchor")).alias("wanted"))
+def repeats(texts: DataFrame, contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(copies: oid, tie, start, finish and the place s_oid, s_tie, s_start that they repeat; the maximal repeats of what is left, a row an occurrence)."""
+    spark = texts.sparkSession
+    n = common.partitions(spark)
+    hot = spark.sparkContext.broadcast(hot_anchors(texts, contexts))
+    scanned = texts.select("oid", "tie", "text").mapInArrow(_scanner(hot), SEGMENT)
+    key = F.when(F.col("copy"), F.xxhash64("oid", "tie", "start")).otherwise(F.col("anchor"))
+    dealt = scanned.repartition(n, key).sortWithinPartitions("anchor", "half", "other", "size", "oid", "tie", "start")
+    found = common.materialize(dealt.mapInArrow(_settle, FOUND), "segments")
+    wanted = found.filter("not copy").groupBy("oid", "tie").agg(F.collect_list(F.struct("start", "finish", "anchor")).alias("wanted"))
     asked = texts.select("oid", "tie", "text").join(wanted.withColumnRenamed("tie", "w_tie"), "oid").filter("tie = w_tie").dropDuplicates(["oid", "tie"])
-    pieces = asked.select("oid", "tie", "text", "wanted").mapInArrow(_fetcher(n), "bucket int, oid long, tie long, start long, data binary")
-    groups = common.materialize(pieces.groupBy("bucket").applyInArrow(_repeats, REPEATS), "repeats")
-    return found.filter("not asked").select("oid", "tie", "start", "finish"), groups
+    pieces = asked.select("oid", "tie", "text", "wanted").mapInArrow(_fetch, PIECE)
+    ordered = pieces.repartition(n, "anchor").sortWithinPartitions("anchor", "oid", "tie", "start")
+    groups = common.materialize(ordered.mapInArrow(_repeats, REPEATS), "repeats")
+    return found.filter("copy").select("oid", "tie", "start", "finish", "s_oid", "s_tie", "s_start"), groups
+
 
+def occurrences(copies: DataFrame, groups: DataFrame) -> DataFrame:
+    """grp, size, oid, tie, start of every occurrence of the maximal repeats, those in copies included.
 
-def dedup(docs: DataFrame) -> DataFrame:
+    An occurrence is carried along the copies that hold it whole, source by
+    source; a source is always earlier than its copy, so this ends.
+    """
+    here = groups.select("grp", "size", "oid", "tie", "start").distinct()
+    out = here = common.materialize(here, "occurrences")
+    links = copies.select(F.col("oid").alias("to_oid"), F.col("tie").alias("to_tie"), F.col("start").alias("to_start"), (F.col("finish") - F.col("start")).alias("width"), F.col("s_oid").alias("oid"), F.col("s_tie").alias("tie"), "s_start")
+    inside = (F.col("start") >= F.col("s_start")) & (F.col("start") + F.col("size") <= F.col("s_start") + F.col("width"))
+    while True:
+        step = here.join(links, ["oid", "tie"]).filter(inside).select("grp", "size", F.col("to_oid").alias("oid"), F.col("to_tie").alias("tie"), (F.col("to_start") + F.col("start") - F.col("s_start")).alias("start")).distinct()
+        here = common.materialize(step.join(out, ["grp", "size", "oid", "tie", "start"], "left_anti"), "occurrences")
+        if here.isEmpty():
+            return out
+        out = common.materialize(out.unionByName(here), "occurrences")
+
+
+def dedup(docs: DataFrame, contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of `docs`."""
     texts = written_texts(docs)
-    equal, groups = repeats(texts)
+    copies, groups = repeats(texts, contexts)
     later = groups.filter("not first").select("oid", "tie", "start", (F.col("start") + F.col("size")).alias("finish"))
-    spans = equal.unionByName(later).groupBy("oid", "tie").agg(F.collect_list(F.struct("start", "finish")).alias("spans"))
+    spans = copies.select("oid", "tie", "start", "finish").unionByName(later).groupBy("oid", "tie").agg(F.collect_list(F.struct("start", "finish")).alias("spans"))
     joined = texts.join(spans.select(F.col("oid").alias("s_oid"), F.col("tie").alias("s_tie"), "spans"), (F.col("oid") == F.col("s_oid")) & (F.col("tie") == F.col("s_tie")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

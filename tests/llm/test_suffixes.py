@@ -28,9 +28,9 @@ def brute(docs):
     return sorted(((d, *out[key(d, b)]) for d, b in rows), key=repr)
 
 
-def check(df):
+def check(df, **kw):
     want = brute([(r.doc_id, r.text) for r in df.collect()])
-    assert fixtures.rows(suffixes.dedup(df)) == want
+    assert fixtures.rows(suffixes.dedup(df, **kw)) == want
     return want
 
 
@@ -53,7 +53,48 @@ def test_shared_passages(spark):
     docs = [(i, say(rng.randrange(60)) + "".join(rng.choice(passages)[rng.randrange(40) :] + say(rng.randrange(30)) for _ in range(rng.randrange(5)))) for i in range(120)]
     docs += [(i, "ab" * rng.randrange(300)) for i in range(200, 206)] + [(300, "x" * 5000), (301, "y" + "x" * 700)]
     rng.shuffle(docs)
-    check(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    check(df)
+    assert len(suffixes.hot_anchors(suffixes.written_texts(df), 1)) > 20
+    check(df, contexts=1)
+
+
+def test_a_passage_in_most_documents(spark):
+    """Its anchors at both ends have a context a document; they are hot, and no suffix array holds them."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage = say(300)
+    df = spark.createDataFrame([(i, say(150) + passage + say(150)) for i in range(400)], "doc_id long, text string").repartition(4)
+    texts = suffixes.written_texts(df)
+    assert 0 < len(suffixes.hot_anchors(texts)) < 30
+    check(df)
+    _, groups = suffixes.repeats(texts)
+    assert groups.groupBy("grp").count().filter("count > 100").isEmpty()
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(10)
+    text = "".join(rng.choice("abcdefgh é") for _ in range(1_500_000))
+    check(spark.createDataFrame([(1, text + text[:700_000]), (2, text[1_000_000:1_200_000]), (3, "ab" * 300_000)], "doc_id long, text string"))
+
+
+def test_every_occurrence_is_reached(spark):
+    """Of each maximal repeat, all places where its bytes stand, also those in copies that were collapsed early."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b = say(180), say(130)
+    docs = [(1, say(50) + a + say(40) + b), (2, a + say(70)), (3, say(20) + b + a + say(9))]
+    docs += [(i, docs[i % 3][1]) for i in range(4, 12)] + [(20, say(33) + docs[2][1])]
+    texts = suffixes.written_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    copies, groups = suffixes.repeats(texts)
+    text = dict(docs)
+    found = {}
+    for r in suffixes.occurrences(copies, groups).collect():
+        found.setdefault((r.grp, text[r.oid][r.start : r.start + r.size]), set()).add((r.oid, r.start))
+    assert len(found) == len({g for g, _ in found}) > 3
+    assert {w[i : i + 100] for _, w in found for i in range(len(w) - 99)} >= {x[i : i + 100] for x in (a, b) for i in range(len(x) - 99)}
+    for (_, w), places in found.items():
+        assert places == {(d, i) for d, t in docs for i in range(len(t)) if t.startswith(w, i)}
 
 
 def test_small_blocks(monkeypatch):
@@ -64,10 +105,12 @@ def test_small_blocks(monkeypatch):
     for block in (1 << 18, 256, 64):
         monkeypatch.setattr(suffixes, "BLOCK", block)
         suffixes._powers.clear()
-        anchor, content, start, size = suffixes.segments(data, valid)
+        anchor, _, _, start, size = suffixes.segments(data, valid)
         windows = [i for s, z in zip(start, size) for i in range(s, s + z - 99)]
         assert sorted(windows) == list(range(2901))
         assert size.max() <= 168
+        split = suffixes.segments(data, valid, np.unique(anchor)[::2])
+        assert sorted(i for s, z in zip(*split[3:]) for i in range(s, s + z - 99)) == list(range(2901))
     suffixes._powers.clear()
 
 
