@@ -3,10 +3,11 @@
 Three base patterns (assign, access, hex) are found in whole texts. A fourth,
 looser kind (token: long, high-entropy runs that no base span covers) gives
 candidates only. The SHA-256 of every candidate's value is counted over the
-corpus by distinct repositories (documents) and owners (source): a value that
-few owners hold looks live, one that many hold is a copied example. Token
-candidates become spans where their value is owner-specific; base spans stay
-in either case, and are only told apart in n_live and n_copied.
+corpus by distinct repositories (documents) and owners (source). A value is a
+widely copied example where more than MAX_OWNERS owners hold it, or more than
+MAX_REPOS repositories, be they of one owner; else it is owner-specific and
+looks live. Token candidates become spans where their value looks live; base
+spans stay in either case, and are only told apart in n_live and n_copied.
 
 Defined cases: null text counts as empty; a null owner is an owner of its own;
 repeated rows are scanned row by row but count as one repository where doc_id
@@ -34,9 +35,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
-#: Bits a character that a token needs, and the most owners of a live-looking value.
+#: Bits a character that a token needs, and the most owners and repositories of a live-looking value.
 TOKEN_BITS = 3.5
 MAX_OWNERS = 2
+MAX_REPOS = 10
 
 
 def _bits(value: str) -> float:
@@ -57,13 +59,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def token_candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long runs with letters, digits and high entropy that overlap no base span."""
-    out, at = [], 0
+    """Long runs with letters, digits and high entropy that overlap no base span; one pass over both, as both are ordered."""
+    out, at, reach = [], 0, 0
     for m in RUN.finditer(text):
         s, e, v = m.start(), m.end(), m[0]
-        while at < len(base) and base[at][2] <= s:
+        while at < len(base) and base[at][0] < e:  # spans that begin before this run's end; `reach` is how far they go
+            reach = max(reach, base[at][2])
             at += 1
-        if any(b[0] < e and b[2] > s for b in base[at:]):
+        if reach > s:
             continue
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and _bits(v) >= TOKEN_BITS:
             out.append((s, 3, e, v))
@@ -102,12 +105,16 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("key").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def looks_live(max_owners: int, max_repos: int) -> F.Column:
+    return (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+
+
+def find_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """uid, doc_id, base_sha256, all (array of start, kind, end: base and live tokens), n_live, n_copied."""
     scanned = scan(docs, owner)
     seen = ownership(scanned)
     each = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(seen, "key")
-    live = F.col("n_owners") <= max_owners
+    live = looks_live(max_owners, max_repos)
     span = F.struct("start", "kind", "end")
     by_doc = each.groupBy("uid").agg(F.collect_list(F.when((F.col("kind") < 3) | live, span)).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"))
     out = scanned.select("uid", "doc_id", "base_sha256").join(by_doc, "uid", "left")
@@ -120,43 +127,47 @@ def span_string(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def mask_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """`docs` with every base and live span replaced by [SECRET]; n_chars, if there, follows the text.
 
     The hashes of a document's live tokens come by a join on doc_id; only documents with such tokens have any.
     """
     scanned = scan(docs, owner)
+    doc, keys = common.free_names(docs, 2)
     tokens = scanned.select("doc_id", F.explode("found").alias("f")).filter("f.kind = 3").select("doc_id", "f.key")
-    live = tokens.join(ownership(scanned).filter(F.col("n_owners") <= max_owners).select("key"), "key", "left_semi")
-    by_doc = live.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_keys"))
-    wide = docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    live = tokens.join(ownership(scanned).filter(looks_live(max_owners, max_repos)).select("key"), "key", "left_semi")
+    by_doc = live.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(keys))
+    wide = docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").drop(doc)
     schema = docs.schema
-    out = wide.mapInArrow(_mask_keys, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+    out = wide.mapInArrow(_masker(keys), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _mask_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masks base spans and the tokens whose value's hash is among the row's live keys."""
-    for batch in batches:
-        at, held = batch.schema.get_field_index("text"), batch.schema.get_field_index("_keys")
-        texts = []
-        for text, keys in zip(batch.column(at), batch.column(held), strict=True):
-            t = text.as_py()
-            if t:
-                base = base_spans(t)
-                live = set(keys.as_py() or [])
-                spans = [(s, e) for s, _, e, _ in base]
-                if live:
-                    spans += [(s, e) for s, _, e, v in token_candidates(t, base) if hashlib.sha256(v.encode()).digest() in live]
-                parts, done = [], 0
-                for s, e in sorted(spans):
-                    if s >= done:
-                        parts += [t[done:s], "[SECRET]"]
-                    done = max(done, e)
-                t = "".join([*parts, t[done:]])
-            texts.append(t)
-        kept = [i for i in range(batch.num_columns) if i != held]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in kept], names=[batch.schema.field(i).name for i in kept])
+def _masker(keys_name: str):
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Masks base spans and the tokens whose value's hash is among the row's live keys."""
+        for batch in batches:
+            at, held = batch.schema.get_field_index("text"), batch.schema.get_field_index(keys_name)
+            texts = []
+            for text, keys in zip(batch.column(at), batch.column(held), strict=True):
+                t = text.as_py()
+                if t:
+                    base = base_spans(t)
+                    live = set(keys.as_py() or [])
+                    spans = [(s, e) for s, _, e, _ in base]
+                    if live:
+                        spans += [(s, e) for s, _, e, v in token_candidates(t, base) if hashlib.sha256(v.encode()).digest() in live]
+                    parts, done = [], 0
+                    for s, e in sorted(spans):
+                        if s >= done:
+                            parts += [t[done:s], "[SECRET]"]
+                        done = max(done, e)
+                    t = "".join([*parts, t[done:]])
+                texts.append(t)
+            kept = [i for i in range(batch.num_columns) if i != held]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in kept], names=[batch.schema.field(i).name for i in kept])
+
+    return mask
 
 
 def op7_secret_scan(spark, sf_dir) -> DataFrame:
