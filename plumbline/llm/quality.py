@@ -14,15 +14,18 @@ take the cutoffs certified on the good documents of all strata; for those the
 risk holds over the whole table, not in the stratum.
 
 Defined cases: null text counts as no words; an empty table gives an empty
-result; repeated rows are scored row by row; null strata form their own
-stratum; documents with contradictory or null labels are no holdout; other
-columns are ignored.
+result; repeated rows are scored row by row but count once in the holdout, where
+each doc_id stands for one document; null strata form their own stratum;
+documents with contradictory or null labels are no holdout; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -157,49 +160,73 @@ def climb(steps: list[tuple[str, float]], firsts: dict[int, int], risk: float, d
     return chosen
 
 
-def certified_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str | None, dict[str, float]]:
+class Cutoffs(NamedTuple):
+    """Rule -> cutoff: of the strata with a test of their own, and of all others."""
+
+    own: dict[str | None, dict[str, float]]
+    rest: dict[str, float]
+
+    def of(self, stratum: str | None) -> dict[str, float]:
+        return self.own.get(stratum, self.rest)
+
+
+def holdout(counts: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """stratum, label and rule values of the labelled documents that pass the base rules, one row a doc_id.
+
+    Repeated rows are no independent draws. Of rows with one doc_id the one with the least values counts.
+    """
+    clear = labels.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("best")).filter("label = best").select("doc_id", "label")
+    rows = counts.filter(~base_failed()).join(clear, "doc_id")
+    values = F.struct(*[v.alias(r) for r, v in rule_values().items()], F.col(stratum).alias("stratum"))
+    return rows.groupBy("doc_id", "label").agg(F.min(values).alias("v")).select("label", "v.*")
+
+
+def certified_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> Cutoffs:
     """Per stratum, rule -> the strictest cutoff reached; all rules of a stratum together keep the risk.
 
     `counts` needs doc_id, the stratum and the base counts; `labels` doc_id and
-    quality (1: good). At most a row per stratum and step goes to the driver.
+    quality (1: good). Strata with too few labelled good documents for any test
+    are counted, not named, so at most a row per step goes to the driver for
+    each of the others, of which the labels allow only so many.
     """
-    clear = labels.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("best")).filter("label = best").select("doc_id", "label")
-    held = counts.filter(~base_failed()).join(clear, "doc_id", "left").select(F.col(stratum).alias("stratum"), "label", *[v.alias(r) for r, v in rule_values().items()])
+    held = common.materialize(holdout(counts, labels, stratum), "holdout")
+    good = held.filter("label = 1")
     above = held.filter("label = 0").agg(*[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]).first()
     steps = ladder({r: [above[f"{r}_{i}"] for i in range(len(cuts))] for r, cuts in RULES.items()})
     first = F.coalesce(*[F.when(F.col(r) > c, F.lit(k)) for k, (r, c) in enumerate(steps)], F.lit(len(steps)))
-    firsts: dict[str | None, dict[int, int]] = {}
-    pooled: dict[int, int] = {}
-    for row in held.groupBy("stratum", F.when(F.col("label") == 1, first).alias("first")).count().collect():
-        own = firsts.setdefault(row["stratum"], {})
-        if row["first"] is not None:
-            own[row["first"]] = row["count"]
-            pooled[row["first"]] = pooled.get(row["first"], 0) + row["count"]
+    n_strata = counts.select(F.count_distinct(stratum) + F.max(F.col(stratum).isNull().cast("int"))).first()[0] or 0
+    needed = next(n for n in range(1, 1 << 20) if upper_bound(0, n, 1 - confidence) <= risk)
+    sizes = {r["stratum"]: r["count"] for r in good.groupBy("stratum").count().filter(F.col("count") >= needed).collect()}
     # How a stratum is tested follows from its size alone; those too small for any test of their own share a pooled one.
-    sizes = {s: sum(own.values()) for s, own in firsts.items()}
-    tested = sorted(sizes, key=lambda s: -sizes[s])
-    while tested and upper_bound(0, sizes[tested[-1]], (1 - confidence) / (len(tested) + (len(tested) < len(sizes)))) > risk:
+    tested = sorted(sizes, key=lambda s: (-sizes[s], s is None, s or ""))
+    while tested and upper_bound(0, sizes[tested[-1]], (1 - confidence) / (len(tested) + (len(tested) < n_strata))) > risk:
         tested.pop()
-    delta = (1 - confidence) / max(1, len(tested) + (len(tested) < len(sizes)))
-    fallback = climb(steps, pooled, risk, delta)
-    out = {s: climb(steps, own, risk, delta) if s in tested else fallback for s, own in firsts.items()}
+    delta = (1 - confidence) / max(1, len(tested) + (len(tested) < n_strata))
+    named = F.col("stratum").isin([s for s in tested if s is not None]) | (F.col("stratum").isNull() & F.lit(None in tested))
+    firsts: dict[str | None, dict[int, int]] = {s: {} for s in tested}
+    for row in good.filter(named).groupBy("stratum", first.alias("first")).count().collect():
+        firsts[row["stratum"]][row["first"]] = row["count"]
+    pooled = {r["first"]: r["count"] for r in good.groupBy(first.alias("first")).count().collect()}
+    out = {s: climb(steps, own, risk, delta) for s, own in firsts.items()}
     # Large strata: every rule and cutoff on its own, the risk shared by the rules and the error by all tests.
     each = delta / sum(map(len, RULES.values()))
-    if any(upper_bound(0, sizes[s], each) <= risk / len(RULES) for s in tested):
+    large = [s for s in tested if upper_bound(0, sizes[s], each) <= risk / len(RULES)]
+    if large:
         tests = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
-        for row in held.filter("label = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests).collect():
-            if row["stratum"] in tested and upper_bound(0, row["n"], each) <= risk / len(RULES):
+        for row in good.filter(named).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests).collect():
+            if row["stratum"] in large:
                 ok = {r: [c for i, c in enumerate(cuts) if upper_bound(row[f"{r}_{i}"], row["n"], each) <= risk / len(RULES)] for r, cuts in RULES.items()}
                 out[row["stratum"]] = {r: min(c) for r, c in ok.items() if c}
-    return out
+    return Cutoffs(out, climb(steps, pooled, risk, delta))
 
 
-def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:
+def verdict(cutoffs: Cutoffs, stratum: str = "lang") -> Column:
     """True where the text neither fails the base rules nor exceeds a certified cutoff of its stratum."""
-    values, bad = rule_values(), F.lit(False)
-    for s, chosen in cutoffs.items():
-        for r, cut in chosen.items():
-            bad = bad | (F.col(stratum).eqNullSafe(F.lit(s)) & (values[r] > cut))
+    values, never = rule_values(), F.lit(False)
+    exceeds = lambda chosen: functools.reduce(Column.__or__, [values[r] > cut for r, cut in chosen.items()], never)
+    bad = exceeds(cutoffs.rest)
+    for s, chosen in cutoffs.own.items():
+        bad = F.when(F.col(stratum).eqNullSafe(F.lit(s)), exceeds(chosen)).otherwise(bad)
     return ~base_failed() & ~bad
 
 

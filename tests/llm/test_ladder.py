@@ -21,7 +21,7 @@ def test_a_harmful_rule_is_not_certified(spark):
     docs, labels = table(spark, {"en": 2000, "fr": 2000}, harmful=("fr",))
     counts = common.materialize(quality.with_counts(docs), "q")
     cutoffs = quality.certified_cutoffs(counts, labels)
-    assert cutoffs["fr"] == {} and cutoffs["en"]["symbol_ratio"] == 0.02
+    assert cutoffs.of("fr") == {} and cutoffs.of("en")["symbol_ratio"] == 0.02
 
 
 def test_ladder_holds_every_rule_from_loose_to_strict():
@@ -47,4 +47,12 @@ def test_large_strata_test_every_rule(spark):
     rows = [(i, f"{good} {'#' * 30}" if i % 9 == 0 else lines if i % 9 < 3 else good, "en", int(i % 9 > 0)) for i in range(9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
     cutoffs = quality.certified_cutoffs(common.materialize(quality.with_counts(df.drop("quality")), "q"), df.select("doc_id", "quality"))
-    assert cutoffs["en"]["symbol_ratio"] == 0.02 and cutoffs["en"]["mean_word_chars"] == 8.0
+    assert cutoffs.of("en")["symbol_ratio"] == 0.02 and cutoffs.of("en")["mean_word_chars"] == 8.0
+
+
+def test_repeated_rows_certify_nothing(spark):
+    good, junk = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}###$$$" for i in range(60))
+    df = spark.createDataFrame([(1, good, "en")] * 3000 + [(2, junk, "en")] * 500, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    cutoffs = quality.certified_cutoffs(common.materialize(quality.with_counts(df), "q"), labels)
+    assert cutoffs == ({}, {})

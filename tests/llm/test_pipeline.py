@@ -41,7 +41,7 @@ def test_run(spark):
             continue
         lines = sum(bool(x.split()) for x in d["text"].split("\n"))
         value = {"symbol_ratio": symbols / chars, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "mean_word_chars": chars / n}
-        if all(value[r] <= c for r, c in cutoffs.get(d["lang"], {}).items()):
+        if all(value[r] <= c for r, c in cutoffs.of(d["lang"]).items()):
             kept.append(d)
     names = brute_components([brute_fp(d["text"]) for d in kept], [d["doc_id"] for d in kept], simhash.MAX_DISTANCE)
     kept = [d for d, c in zip(kept, names) if d["doc_id"] == c]
