@@ -62,11 +62,24 @@ def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return spark.table(table)
 
 
-def least_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the written `rows` with a unique _row, the one with the smallest (doc_id, text digest, _row) of each root (_row, root); null ids last."""
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("mark"), "_row")
-    least = rows.select("_row", order.alias("rank")).join(roots, "_row").groupBy("root").agg(F.min("rank").alias("least"))
-    return rows.join(least.select(F.col("least._row").alias("_row")), "_row", "left_semi").drop("_row")
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` column names that `df` does not have, upper and lower case being alike."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"plumbline_{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of `docs`, written, with a unique key each; and the name of the key's column."""
+    (row,) = free_names(docs, 1)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def least_of_each(rows: DataFrame, row: str, roots: DataFrame) -> DataFrame:
+    """Of the written `rows` with the unique key `row`, the one with the smallest (doc_id, text digest, key) of each root (row, root); null ids last."""
+    key = F.col(row)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), key.alias("row"))
+    least = rows.select(key.alias("row"), order.alias("rank")).join(roots, "row").groupBy("root").agg(F.min("rank").alias("least"))
+    return rows.join(least.select(F.col("least.row").alias(row)), row, "left_semi").drop(row)
 
 
 def partitions(spark: SparkSession) -> int:

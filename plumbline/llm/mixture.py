@@ -252,16 +252,17 @@ def taken_documents(docs: DataFrame, source: str = "source", weights=WEIGHTS, ep
     The prefix has the documents whose middle word lies before its end, so a
     source's words miss its target by half a document at most.
     """
-    rows = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    streams = common.materialize(packed(rows, source, "_row"), "streams")
+    rows, row = common.keyed(docs)
+    n, copy = common.free_names(rows, 2)
+    streams = common.materialize(packed(rows, source, row), "streams")
     sizes = {r["skey"]: r["size"] for r in streams.groupBy("skey").agg(F.sum("size").alias("size")).collect()}
     keys = sorted(sizes)
     goal = targets([sizes[k] for k in keys], [weights[i % len(weights)] for i in range(len(keys))], epochs)
     words = [(k, *divmod(min(round(t), epochs * sizes[k]), max(sizes[k], 1))) for k, t in zip(keys, goal, strict=True)]
     table = docs.sparkSession.createDataFrame(words, "skey string, whole long, rest long")
     copies = F.col("whole") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
-    chosen = streams.filter("size > 0").join(F.broadcast(table), "skey").select("_row", copies.alias("_copies")).filter("_copies > 0")
-    return rows.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    chosen = streams.filter("size > 0").join(table, "skey").select(row, copies.alias(n)).filter(F.col(n) > 0)
+    return rows.join(chosen, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def op3_mixture(spark, sf_dir) -> DataFrame:

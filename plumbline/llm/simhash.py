@@ -298,9 +298,9 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE, hot_rows: int =
 
 def one_of_each(docs: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     """One row of `docs` of each group, also among rows with equal or null doc_id."""
-    rows = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    named = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), limit)
-    return common.least_of_each(rows, named.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root"))).select(*docs.columns)
+    rows, row = common.keyed(docs)
+    named = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), limit)
+    return common.least_of_each(rows, row, named.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir) -> DataFrame:

@@ -2,8 +2,12 @@
 
 import random
 
+import corpus_pipeline
 import pytest
-from plumbline.llm import shingles, simhash
+from plumbline.llm import mixture, secrets, shingles, simhash
+from pyspark.sql import functions as F
+
+from tests.llm import fixtures
 
 
 @pytest.mark.parametrize("one_of_each", [simhash.one_of_each, shingles.one_of_each])
@@ -13,3 +17,17 @@ def test_rows_not_ids_are_kept(spark, one_of_each):
     rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, b), (3, d), (3, d)]
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, a), (1, b), (None, c), (3, d)], key=repr)
+
+
+CLASHES = ["_words", "_copy", "_size", "_copies", "_doc", "_keys", "_row", "row", "root", "skey", "size", "start", "PLUMBLINE_0", "plumbline_1", "label", "value", "found"]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = fixtures.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0))).alias(c) for c in CLASHES])
+    stages = [(n, lambda df, s=s: s(spark, df, "/root/testdata/sf0.001")) for n, s in corpus_pipeline.STAGES[:-1]]
+    for name, stage in [*stages, ("one_of_each", simhash.one_of_each), ("mask", secrets.mask_secrets), ("mix", mixture.taken_documents)]:
+        out = stage(wide)
+        assert out.columns == wide.columns, name
+        assert all(r[c] == f"{c}{r.doc_id or 0}" for r in out.collect() for c in CLASHES), name
+        assert fixtures.rows(out.select(docs.columns)) == fixtures.rows(stage(docs)), name
