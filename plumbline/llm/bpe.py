@@ -5,18 +5,19 @@
    writes, per chunk, the texts as word numbers in order of position and the
    words in runs by hash bucket. The written table fixes the chunks for all
    later steps.
-2. The runs are shuffled by bucket. A task streams its runs bucket by bucket,
-   encodes every distinct word of a bucket once and answers each run with the
-   ids of its words, in their order.
+2. The runs are shuffled by bucket. A task streams its runs bucket by bucket in
+   groups of GROUP_BYTES, encodes every distinct word of a group once, but for
+   those of the group before, and answers each run with the ids of its words,
+   in their order.
 3. The answers are joined to their chunk, whose table is bucketed so that only
    the answers move, and the ids are laid out by position.
 Decoding maps the ids through the token-byte table, whose size the vocabulary
 fixes. Frequent words cost one entry a chunk, so no key is hot.
 
 Chunks grow with the text and a chunk has MAX_RUNS runs at most, whatever the
-number of partitions, so the runs grow with the text. Tasks hold a chunk, or
-the distinct words of a bucket up to KNOWN_BYTES of ids; beyond that a task
-forgets them and encodes some words again. Texts are laid out a slice at a time.
+number of partitions, so the runs grow with the text. Tasks hold a chunk or two
+groups of runs; a bucket of several groups encodes some words again, once a
+group at most. Texts are laid out a slice at a time.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows are
 encoded row by row; an empty table gives no rows; other columns are ignored.
@@ -40,11 +41,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import common, units
 
 #: Bytes of text a chunk; a longer document is a chunk by itself.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 10 << 20
 #: Runs of words a chunk, at most.
 MAX_RUNS = 1024
-#: Ids of a bucket's words that a task remembers, and words or tokens that are laid out at a time.
-KNOWN_BYTES, SLICE = 16 << 20, 1 << 18
+#: Bytes of runs that are encoded together, and words or tokens that are laid out at a time.
+GROUP_BYTES, SLICE = 4 << 20, 1 << 18
 #: Words of a run are joined by this byte, which UTF-8 never contains.
 SEPARATOR = b"\xff"
 
@@ -93,29 +94,41 @@ def _pack(n_buckets: int, limit: int):
 PACKED = "chunk long, doc_ids array<long>, counts binary, codes binary, order binary, vocab array<struct<bucket:int,words:binary>>"
 
 
-def _encoder(ranks, pattern: str):
+def _encoder(ranks, pattern: str, group_bytes: int):
     """Answers the runs, sorted by bucket, with ids in the order of their words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        unzip, memory, now = zstandard.ZstdDecompressor().decompress, units.Memory(), None
+        unzip, memory, held, size = zstandard.ZstdDecompressor().decompress, units.Memory(), [], 0
 
         def make(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
             ids = [bpe.encode_ordinary(w) for w in units.strings_of(words)]
             return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+        def answers() -> Iterator[pa.RecordBatch]:
+            distinct = pa.concat_arrays([w for _, _, w in held]).dictionary_encode()
+            ids, sizes = memory.lookup(distinct.dictionary, make)
+            starts, codes, at = units.starts_of(sizes), distinct.indices.to_numpy(), 0
+            for chunk, bucket, words in held:
+                own = codes[at : at + len(words)]
+                at += len(words)
+                values = (chunk, bucket, _planes(units.gather(ids, starts, sizes, own)), _planes(sizes[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "ids", "lengths"])
+
         for batch in batches:
             for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now or memory.flat.nbytes > KNOWN_BYTES:
-                    memory.forget()
-                    now = bucket
                 raw = np.frombuffer(unzip(blob), np.uint8)
                 breaks = np.concatenate([[-1], np.flatnonzero(raw == SEPARATOR[0]), [len(raw)]])
                 lengths = np.diff(breaks) - 1
-                ids, sizes = memory.lookup(units.strings_from(raw[units.ranges(breaks[:-1] + 1, lengths)], lengths), make, keep_all=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, bucket, _planes(ids), _planes(sizes)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "ids", "lengths"])
+                held.append((chunk, bucket, units.strings_from(raw[units.ranges(breaks[:-1] + 1, lengths)], lengths)))
+                size += len(raw)
+                if size >= group_bytes:
+                    yield from answers()
+                    held, size = [], 0
+        if held:
+            yield from answers()
 
     return encode
 
@@ -174,7 +187,7 @@ def _answered(docs: DataFrame, ranks, pattern: str, chunk_bytes: int) -> DataFra
     packed = common.materialize_bucketed(rows.mapInArrow(_pack(n_buckets, chunk_bytes), PACKED), "bpe", "chunk")
     runs = packed.select("chunk", F.explode("vocab").alias("v")).select("chunk", "v.bucket", "v.words")
     dealt = runs.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(_encoder(ranks, pattern), "chunk long, bucket int, ids binary, lengths binary")
+    answers = dealt.mapInArrow(_encoder(ranks, pattern, GROUP_BYTES), "chunk long, bucket int, ids binary, lengths binary")
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "lengths")).alias("answers"))
     return packed.drop("vocab").join(by_chunk, "chunk", "left")
 

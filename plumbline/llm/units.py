@@ -101,15 +101,12 @@ class Memory:
     """Remembers what has been made of strings: numbers of any count a string."""
 
     def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
         self.seen, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def lookup(self, strings: pa.LargeStringArray, make, keep_all: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, strings: pa.LargeStringArray, make) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all distinct `strings`, one after another; numbers a string); `make` gives both for those not remembered.
 
-        Afterwards the memory holds these strings and, where asked to keep all, those of before.
+        Afterwards the memory holds these strings and no others.
         """
         at = pc.index_in(strings, value_set=self.seen)
         old = pc.is_valid(at).to_numpy(zero_copy_only=False)
@@ -119,10 +116,7 @@ class Memory:
         place[old], place[~old] = at.drop_null().to_numpy(zero_copy_only=False), len(self.sizes) + np.arange(len(fresh))
         flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         out = gather(flat, starts_of(sizes), sizes, place), sizes[place]
-        if keep_all:
-            self.seen, self.flat, self.sizes = pa.concat_arrays([self.seen, fresh]), flat, sizes
-        else:
-            self.seen, self.flat, self.sizes = strings, *out
+        self.seen, self.flat, self.sizes = strings, *out
         return out
 
 

@@ -104,8 +104,9 @@ def test_texts_of_megabytes(spark, tik):
     check_sst(df.filter("doc_id <> 1"))
 
 
-def test_a_bucket_forgets_words(spark, tik, monkeypatch):
+def test_small_groups_and_few_runs(spark, tik, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_RUNS", 3)
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 500)
     check_bpe(common.documents(spark, "/root/testdata/sf0.001"), tik, chunk_bytes=20_000)
 
 
