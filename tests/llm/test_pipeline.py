@@ -6,11 +6,11 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from plumbline.llm import bpe, common, mixture, quality, secrets, simhash
+from plumbline.llm import bpe, common, mixture, quality, secrets
 
 from tests.llm import fixtures
 from tests.llm.test_scans import brute_counts
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_shingles import brute_groups
 
 
 def test_stage_contract(spark):
@@ -43,8 +43,10 @@ def test_run(spark):
         value = {"symbol_ratio": symbols / chars, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "mean_word_chars": chars / n}
         if all(value[r] <= c for r, c in cutoffs.of(d["lang"]).items()):
             kept.append(d)
-    names = brute_components([brute_fp(d["text"]) for d in kept], [d["doc_id"] for d in kept], simhash.MAX_DISTANCE)
-    kept = [d for d, c in zip(kept, names) if d["doc_id"] == c]
+    least = {}
+    for d, g in zip(kept, groups := brute_groups([d["text"] for d in kept])):
+        least[g] = min(least.get(g, d["doc_id"]), d["doc_id"])
+    kept = [d for d, g in zip(kept, groups) if d["doc_id"] == least[g]]
     owners: dict = {}
     for d in kept:
         for s in secrets.token_candidates(d["text"], secrets.base_spans(d["text"])):

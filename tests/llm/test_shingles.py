@@ -1,10 +1,12 @@
-"""The pipeline's near-duplicates against brute-force Jaccard similarity."""
+"""The pipeline's near-duplicates against brute force: fingerprints of all pairs, then exact Jaccard similarity."""
 
 import random
 from collections import Counter
 
 import corpus_pipeline
-from plumbline.llm import common, shingles
+import numpy as np
+import xxhash
+from plumbline.llm import common, shingles, simhash
 
 from tests.llm import fixtures
 
@@ -14,20 +16,45 @@ def brute_sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def brute_groups(texts):
-    sets, parent, holders = [brute_sets(t) for t in texts], list(range(len(texts))), {}
+def brute_marks(text):
+    """A fingerprint a family, bit by bit."""
+    hashed = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in brute_sets(text)]
+    out = []
+    for factor in shingles._FACTORS.tolist():
+        counts = [0] * 64
+        for h in hashed:
+            h = h * factor % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            h ^= h >> 32
+            for b in range(64):
+                counts[b] += h >> b & 1
+        out.append(sum(1 << b for b in range(64) if 2 * counts[b] > len(hashed)))
+    return out
+
+
+def similar_pairs(texts):
+    """(i, j, similarity) of all pairs at 0.8 or more."""
+    sets, holders = [brute_sets(t) for t in texts], {}
+    for i, s in enumerate(sets):
+        for j, both in Counter(j for x in s for j in holders.get(x, ())).items():
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                yield j, i, both / (len(s) + len(sets[j]) - both)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+
+def brute_groups(texts, candidates_only=True):
+    parent = list(range(len(texts)))
+    marks = [brute_marks(t) for t in texts] if candidates_only else None
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, s in enumerate(sets):
-        for j, both in Counter(j for x in s for j in holders.get(x, ())).items():
-            if both / (len(s) + len(sets[j]) - both) >= 0.8:
-                parent[find(i)] = find(j)
-        for x in s:
-            holders.setdefault(x, []).append(i)
+    for i, j, _ in similar_pairs(texts):
+        if not candidates_only or any((a ^ b).bit_count() <= 7 for a, b in zip(marks[i], marks[j])):
+            parent[find(i)] = find(j)
     return [find(i) for i in range(len(texts))]
 
 
@@ -70,3 +97,38 @@ def test_a_failed_neighbour_hides_no_link(spark):
 def test_similar_counts_exactly():
     a = " ".join(map(str, range(13))).encode()
     assert shingles.similar(a, a + b" x y") and not shingles.similar(a, a + b" x y z") and shingles.similar(b" ", None)
+
+
+def test_candidates_by_similarity():
+    """The share of pairs within LIMIT bits in some family, as the module's text states it."""
+    rng = random.Random(11)
+    hit, total = Counter(), Counter()
+    while min(total[k] for k in (16, 17, 18, 19)) < 60:
+        a, b = edited(rng, rng.randrange(80, 400), rng.choice([0.004, 0.008, 0.012, 0.016, 0.02]))
+        for _, _, s in similar_pairs([a, b]):
+            near = simhash.near(shingles.fingerprints(a.encode()), shingles.fingerprints(b.encode()), shingles.LIMIT).any()
+            hit[int(s * 20)] += near
+            total[int(s * 20)] += 1
+    assert hit[16] > 0.65 * total[16] and hit[17] > 0.9 * total[17] and hit[18] > 0.97 * total[18] and hit[19] == total[19]
+
+
+def test_groups_of_documents(spark):
+    """Pairs of distinct documents at 0.87 or more share a group, and no group joins documents that brute force keeps apart."""
+    df = common.documents(spark, "/root/testdata/sf0.01")
+    docs = df.collect()
+    roots = {r._row: r.root for r in shingles.groups(df.selectExpr("doc_id AS _row", "text")).collect()}
+    assert all(roots[docs[i].doc_id] == roots[docs[j].doc_id] for i, j, s in similar_pairs([r.text for r in docs]) if s >= 0.87)
+    truth = brute_groups([r.text for r in docs], False)
+    by_id = {r.doc_id: t for r, t in zip(docs, truth)}
+    first = {}
+    assert all(first.setdefault(roots[r.doc_id], by_id[r.doc_id]) == by_id[r.doc_id] for r in docs)  # no false group
+
+
+def test_buckets_cut_into_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 62, 30)[rng.integers(0, 30, 400)] ^ (np.int64(1) << rng.integers(0, 60, 400))
+    sub, node, exact, label = np.sort(rng.integers(0, 3, 400)), rng.permutation(400), rng.random(400) < 0.5, rng.integers(0, 50, 400)
+    want = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(400) for j in range(i) if sub[i] == sub[j] and (exact[i] or exact[j]) and label[i] != label[j] and bin(int(fp[i] ^ fp[j])).count("1") <= 7}
+    for rows in (48, 1000):
+        monkeypatch.setattr(simhash, "SHIFT_ROWS", rows)
+        assert set(zip(*(x.tolist() for x in shingles.bucket_pairs(sub, fp, exact, node, label)))) == want and len(want) > 50
