@@ -72,6 +72,7 @@ def first_line(text: Column) -> Column:
 def scrub_paths(text: Column) -> Column:
     """Absolute paths replaced by <external>/ and their last part; URLs stay."""
     whole = F.startswith(text, F.lit("/"))
+    # Fixed value: the pattern of an absolute path within a text; the replaced texts must be equal.
     inner = F.regexp_replace(text, r"(?<![\w:/])/(?:[A-Za-z0-9_.+-]+/)+([A-Za-z0-9_.+-]+)", "<external>/$1")
     return F.when(whole, F.concat(F.lit("<external>/"), F.element_at(F.split(F.regexp_replace(text, "/+$", ""), "/"), -1))).otherwise(inner)
 

@@ -41,5 +41,5 @@ def score_documents(inputs: DataFrame, truth: DataFrame, files: DataFrame, allow
     hit = cut(score.hits(heads, plants, accepted, assets, claims, credible, tolerance), "hits")
     verdict = cut(score.verdicts(heads, plants, assets, hit, credible), "verdicts")
     ev = score.evidence(heads, assets, claims)
-    classes = score.false_positive_classes(heads, plants, accepted, assets, claims, score.matched_components(verdict), credible, allowances)
+    classes = score.false_positive_classes(heads, plants, accepted, assets, claims, score.matched_components(hit), credible, allowances)
     return Run(heads, verdict, ev, classes, score.results(heads, verdict, hit, ev, classes))

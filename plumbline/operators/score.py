@@ -21,7 +21,7 @@ DEPENDENCY_LAYER = 5
 
 def resolve_claims(claims: DataFrame, inputs: DataFrame, files: DataFrame) -> DataFrame:
     """Adds resolved, the project file a claim's file means."""
-    placed = claims.join(inputs.select("source", "project"), "source")
+    placed = claims if "project" in claims.columns else claims.join(inputs.select("source", "project"), "source")
     return placed.join(paths.resolve_paths(placed, files), ["project", "file"], "left")
 
 
@@ -53,6 +53,11 @@ def hits(inputs, plants, accepted, assets, claims, credible, tolerance: int = ta
     return one.join(flagged, ["source", "index", "algorithm"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
+def first_matches(hit: DataFrame) -> DataFrame:
+    """source, id, _first (index, is_dependency): the first component that answers a plant at its place."""
+    return hit.filter("ok").groupBy("source", "id").agg(F.min(F.struct("index", "is_dependency")).alias("_first"))
+
+
 def verdicts(inputs, plants, assets, hit, credible) -> DataFrame:
     """One row per input and plant of its project: detected, located, file_only, name_only, matched_component, by_dependency."""
     spine = inputs.select("source", "project", "language", "tool").join(plants.select("project", "id", "file", "line", "algorithm", "layer", "asset_type"), "project")
@@ -66,9 +71,9 @@ def verdicts(inputs, plants, assets, hit, credible) -> DataFrame:
     return out.select("source", "project", "language", "tool", "id", "file", "line", "algorithm", "layer", "asset_type", *flags, name_only.alias("name_only"), F.col("_first.index").alias("matched_component"), F.col("_first.is_dependency").alias("by_dependency"))
 
 
-def matched_components(verdict: DataFrame) -> DataFrame:
+def matched_components(hit: DataFrame) -> DataFrame:
     """source, index: components that were some plant's first match; a dependency's match counts for no component."""
-    return verdict.filter("matched_component is not null and not by_dependency").select("source", F.col("matched_component").alias("index")).distinct()
+    return first_matches(hit).filter("not _first.is_dependency").select("source", "_first.index").distinct()
 
 
 def credited_claims(hit: DataFrame) -> DataFrame:
@@ -103,26 +108,29 @@ def false_positive_classes(inputs, plants, accepted, assets, claims, matched, cr
     allowance make credible. Else phantom_location: every location unresolved.
     Else unmatched: no location in a planted file. Else near.
     """
-    left = assets.filter("not is_dependency").join(matched, ["source", "index"], "left_anti").join(inputs.select("source", "project"), "source")
-    each = left.select("source", "index", "project", F.explode("names").alias("name"))
-    features = naming.name_features(each.select("name").distinct()).select("name", (F.size("families") > 0).alias("claims"))
-    claiming = each.join(features.filter("claims"), "name").select("source", "index").distinct().withColumn("claims_family", F.lit(True))
+    own = assets.filter("not is_dependency").join(inputs.select("source", "project"), "source").select("source", "index", "project", "names")
+    each = own.select("source", "index", "project", F.explode("names").alias("name"))
+    features = naming.name_features(each.select("name").distinct()).filter("size(families) > 0").select("name")
     in_project = plants.select("project", "algorithm").distinct()
-    by_plant = credible.join(inputs.select("source", "project"), "source").join(in_project, ["project", "algorithm"], "left_semi").select("source", "index")
-    has = claims.filter("file is not null").select("source", "index").distinct().withColumn("has_location", F.lit(True))
-    pairs = naming.compatible_pairs(allowances, each)
-    allowed = each.join(pairs, "name").join(allowances.select("algorithm", F.col("project").alias("a_project"), F.col("file").alias("a_file")), "algorithm")
-    allowed = allowed.filter("a_project is null or a_project = project").join(has, ["source", "index"], "left")
-    spot = claims.filter("resolved is not null").select("source", "index", F.col("resolved").alias("a_file")).distinct().withColumn("there", F.lit(True))
-    allowed = allowed.join(spot, ["source", "index", "a_file"], "left").filter("a_file is null or there or has_location is null").select("source", "index")
-    credit = by_plant.unionByName(allowed).distinct().withColumn("is_credible", F.lit(True))
-    planted = accepted.select("project", F.col("file").alias("resolved")).distinct()
-    placed = claims.join(inputs.select("source", F.col("project").alias("_project")), "source")
-    on_plant = placed.join(planted.withColumnRenamed("project", "_project"), ["_project", "resolved"], "left_semi").select("source", "index").distinct().withColumn("on_plant", F.lit(True))
-    found = claims.filter("resolved is not null").select("source", "index").distinct().withColumn("some_resolved", F.lit(True))
-    joined = reduce(lambda a, b: a.join(b, ["source", "index"], "left"), (claiming, credit, has, on_plant, found), left.select("source", "index"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    kind = F.when(flag("claims_family") & ~flag("is_credible"), "phantom_algorithm").when(flag("has_location") & ~flag("some_resolved") & ~flag("on_plant"), "phantom_location").when(~flag("on_plant"), "unmatched").otherwise("near")
+    by_plant = credible.join(inputs.select("source", "project"), "source").join(in_project, ["project", "algorithm"], "left_semi")
+    allowed = each.join(naming.compatible_pairs(allowances, each), "name").join(allowances.select("algorithm", F.col("project").alias("a_project"), F.col("file").alias("a_file")), "algorithm")
+    allowed = allowed.filter("a_project is null or a_project = project")
+    spot = claims.filter("resolved is not null").select("source", "index", F.col("resolved").alias("a_file"))
+    placed = claims if "project" in claims.columns else claims.join(inputs.select("source", "project"), "source")
+    planted = accepted.select("project", F.col("file").alias("resolved")).distinct().withColumn("_planted", F.lit(True))
+    placed = placed.join(planted, ["project", "resolved"], "left")
+    # Every table says what it knows of a component; one aggregate brings it together.
+    flags = ("own", "matched", "claims_family", "is_credible", "if_bare", "has_location", "some_resolved", "on_plant")
+    say = lambda df, **known: df.select("source", "index", *[known.get(f, F.lit(False)).alias(f) for f in flags])
+    yes = F.lit(True)
+    told = [
+        say(own, own=yes), say(matched, matched=yes), say(each.join(features, "name", "left_semi"), claims_family=yes), say(by_plant, is_credible=yes),
+        say(allowed, is_credible=F.col("a_file").isNull(), if_bare=yes), say(allowed.filter("a_file is not null").join(spot, ["source", "index", "a_file"], "left_semi"), is_credible=yes),
+        say(placed, has_location=F.col("file").isNotNull(), some_resolved=F.col("resolved").isNotNull(), on_plant=F.col("_planted").isNotNull()),
+    ]
+    joined = reduce(DataFrame.unionByName, told).groupBy("source", "index").agg(*[F.bool_or(f).alias(f) for f in flags]).filter("own and not matched")
+    credible_ = F.col("is_credible") | (F.col("if_bare") & ~F.col("has_location"))
+    kind = F.when(F.col("claims_family") & ~credible_, "phantom_algorithm").when(F.col("has_location") & ~F.col("some_resolved") & ~F.col("on_plant"), "phantom_location").when(~F.col("on_plant"), "unmatched").otherwise("near")
     return joined.select("source", "index", kind.alias("verdict"))
 
 
@@ -134,7 +142,7 @@ def ratio(hit: Column, total: Column, digits: int = 4) -> Column:
 def results(inputs, verdict, hit, ev, classes) -> DataFrame:
     """One row per input: detections, precision and false positives."""
     seen = verdict.groupBy("source").agg(F.count_if("detected").alias("detected"), F.count(F.lit(1)).alias("total"))
-    matched = matched_components(verdict).groupBy("source").agg(F.count(F.lit(1)).alias("matched_components"))
+    matched = matched_components(hit).groupBy("source").agg(F.count(F.lit(1)).alias("matched_components"))
     credited = credited_claims(hit).groupBy("source").agg(F.count(F.lit(1)).alias("credited_claims"))
     wrong = classes.groupBy("source").agg(*[F.count_if(F.col("verdict") == k).alias(c) for k, c in (("phantom_algorithm", "phantom_algorithm"), ("phantom_location", "phantom_location"), ("unmatched", "unmatched_reports"))])
     df = reduce(lambda a, b: a.join(b, "source", "left"), (seen, matched, credited, wrong, ev), inputs)

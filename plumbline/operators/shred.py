@@ -1,7 +1,18 @@
-"""Inventory documents taken apart: components, names and occurrences, with VARIANT and a recursive query."""
+"""Inventory documents taken apart: components, names and occurrences, with VARIANT.
+
+A document is a unit of its own: nothing is numbered, joined or limited across
+documents. Components that hold no others are exploded natively; a document with
+nested components is walked with a stack by the task that holds it, however many
+components it has. JSON of more than 1,000 levels is invalid to Spark's parser.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +55,50 @@ def parse(inputs: DataFrame) -> DataFrame:
     return df.withColumn("bom", F.when(usable, F.col("bom"))).drop("_bad", "raw")
 
 
-WALK = """
-WITH RECURSIVE tree(source, node, place) MAX RECURSION LEVEL 200 AS (
-  SELECT p.source, e.value, array(-e.pos)
-  FROM (SELECT source, try_variant_get(bom, '$.components', 'variant') AS parts FROM {parsed}) p, LATERAL variant_explode(p.parts) e
-  WHERE schema_of_variant(p.parts) LIKE 'ARRAY%'
-  UNION ALL
-  SELECT t.source, e.value, concat(t.place, array(-e.pos))
-  FROM (SELECT source, place, try_variant_get(node, '$.components', 'variant') AS parts FROM tree WHERE schema_of_variant(node) LIKE 'OBJECT%') t, LATERAL variant_explode(t.parts) e
-  WHERE schema_of_variant(t.parts) LIKE 'ARRAY%'
-)
-SELECT source, node, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS index FROM tree WHERE schema_of_variant(node) LIKE 'OBJECT%'
-"""
+def _elements(v: Column, path: str) -> Column:
+    """The objects in the array at a path, each with its place; null where there is no array."""
+    listed = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x, i: F.struct(i.alias("pos"), x.alias("value")))
+    return F.filter(listed, lambda x: _is_object(x["value"]))
+
+
+#: What is read of a component; the components below it are nodes of their own.
+READ = ("type", "name", "version", "cryptoProperties", "evidence", "properties")
+#: Components that the walker hands over at a time.
+WALK_ROWS = 2000
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if math.isfinite(x) else 0.5  # beyond the range of a double; no fraction is read anywhere
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source, index, node of the components of documents, the last sibling first, nodes before their children."""
+    for batch in batches:
+        for source, raw in zip(batch.column(0), batch.column(1), strict=True):
+            stack, index, nodes = list(json.loads(raw.as_py(), parse_float=_finite)["components"]), 0, []
+            while stack:
+                node = stack.pop()
+                if not isinstance(node, dict):
+                    continue
+                nodes.append(json.dumps({k: node[k] for k in READ if k in node}))
+                below = node.get("components")
+                if isinstance(below, list):
+                    stack.extend(below)
+                if len(nodes) == WALK_ROWS or not stack:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(source, len(nodes)).cast(pa.string()), pa.array(range(index, index + len(nodes)), pa.int32()), pa.array(nodes, pa.string())], names=["source", "index", "node"])
+                    index, nodes = index + len(nodes), []
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.repeat(source, len(nodes)).cast(pa.string()), pa.array(range(index, index + len(nodes)), pa.int32()), pa.array(nodes, pa.string())], names=["source", "index", "node"])
 
 
 def components(parsed: DataFrame) -> DataFrame:
     """source, index, node: every component. The index follows a walk with the last sibling first, nodes before their children."""
-    spark = parsed.sparkSession
-    parsed.select("source", "bom").filter("bom is not null").createOrReplaceTempView("_plumbline_parsed")
-    return spark.sql(WALK.format(parsed="_plumbline_parsed"))
+    docs = parsed.filter("bom is not null").select("source", "bom", _elements(F.col("bom"), "$.components").alias("parts")).filter(F.size("parts") > 0)
+    nested = F.exists("parts", lambda x: _is_array(F.try_variant_get(x["value"], "$.components", "variant")))
+    flat = docs.filter(~nested).select("source", F.posexplode(F.reverse("parts")).alias("index", "part")).select("source", "index", F.col("part.value").alias("node"))
+    deep = docs.filter(nested).select("source", F.to_json("bom").alias("raw")).mapInArrow(_walk, "source string, index int, node string")
+    return flat.unionByName(deep.select("source", "index", F.parse_json("node").alias("node")))
 
 
 def coerce_line(v: Column) -> Column:
@@ -101,13 +137,11 @@ def assets(nodes: DataFrame) -> DataFrame:
 
 def occurrences(found: DataFrame) -> DataFrame:
     """source, index, ordinal, file, line, shape: evidence occurrences with a file or a line, then at most one from properties."""
-    spark = found.sparkSession
-    found.select("source", "index", "node").createOrReplaceTempView("_plumbline_assets")
-    exploded = "SELECT a.source, a.index, e.pos, e.value FROM (SELECT source, index, try_variant_get(node, '{path}', 'variant') AS list FROM _plumbline_assets) a, LATERAL variant_explode(a.list) e WHERE schema_of_variant(a.list) LIKE 'ARRAY%' AND schema_of_variant(e.value) LIKE 'OBJECT%'"
-    seen = spark.sql(exploded.format(path="$.evidence.occurrences"))
+    exploded = lambda path: found.select("source", "index", F.explode(_elements(F.col("node"), path)).alias("e")).select("source", "index", "e.*")
+    seen = exploded("$.evidence.occurrences")
     line = coerce_line(F.try_variant_get("value", "$.line", "variant"))
     spec = seen.select("source", "index", F.col("pos").alias("ordinal"), text_at(F.col("value"), "$.location").alias("file"), line.alias("line"), F.lit("evidence.occurrences").alias("shape")).filter("file is not null or line is not null")
-    props = spark.sql(exploded.format(path="$.properties"))
+    props = exploded("$.properties")
     leaf = F.substring_index(F.lower(strip(F.try_variant_get("value", "$.name", "string"))), ":", -1)
     value = F.try_variant_get("value", "$.value", "variant")
     file = F.when(leaf.isin(*tables.LOCATION_PROPERTIES), text_at(F.col("value"), "$.value"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import names as naming
 from plumbline.functions import paths, text
 from plumbline.operators import governance, rollups, score, shred
+from plumbline.plans import documents
 from plumbline.plans.frames import PLANTED, REPORTED, Frames, quoted
-from plumbline.plans.oracle import COMPAT, EVIDENCE, FALSE_POSITIVES, FRAMES, POOLS, RESOLVE, SCORED, features, over
+from plumbline.plans.oracle import COMPAT, EVIDENCE, FALSE_POSITIVES, FRAMES, POOLS, RESOLVE, SCORED, VERDICTS, features, over
+from plumbline.sources import reports
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -84,7 +86,7 @@ LEFT JOIN (SELECT source, count(DISTINCT idx || '|' || file) AS k FROM hit WHERE
 @query(over(PRECISION, *SCORED, EVIDENCE))
 def precision_by_source(t):
     ev = score.evidence(t.inputs(), t.assets(), t.claims()).select("source", "crypto_components", "distinct_claims")
-    m = score.matched_components(t.verdicts()).groupBy("source").agg(F.count(F.lit(1)).alias("matched_components"))
+    m = score.matched_components(t.hits()).groupBy("source").agg(F.count(F.lit(1)).alias("matched_components"))
     k = score.credited_claims(t.hits()).groupBy("source").agg(F.count(F.lit(1)).alias("credited_claims"))
     df = ev.join(m, "source", "left").join(k, "source", "left").fillna(0, ["matched_components", "credited_claims"])
     return df.select("source", "matched_components", "crypto_components", score.ratio(F.col("matched_components"), F.col("crypto_components")).alias("precision_value"), "credited_claims", "distinct_claims", score.ratio(F.col("credited_claims"), F.col("distinct_claims")).alias("claim_precision"))
@@ -101,7 +103,7 @@ def weaker_rules(t):
 
 
 def _classes(t):
-    matched = score.matched_components(t.verdicts())
+    matched = score.matched_components(t.hits())
     return score.false_positive_classes(t.inputs(), t.plants(), t.accepted(), t.assets(), t.claims(), matched, t.credible(), t.allowances())
 
 
@@ -211,11 +213,6 @@ def coerce_line(t):
     return t.table("events").select("event_type", shred.coerce_line(v).alias("line")).filter("line is not null").groupBy("event_type", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, arg_min(value, event_id) AS value, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def first_property_wins(t):
-    return t.table("events").groupBy("user_id").agg(F.min_by("value", "event_id").alias("value"), F.min_by("event_type", "event_id").alias("event_type"))
-
-
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation), w AS (SELECT r_name AS name, r_regionkey AS a, NULL AS b FROM region UNION ALL SELECT n_name, n_regionkey, p FROM n)
 SELECT name, row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST) - 1 AS component FROM w""")
 def nested_component_index(t):
@@ -228,6 +225,16 @@ def nested_component_index(t):
     return nodes.select(F.try_variant_get("node", "$.name", "string").alias("name"), F.col("index").cast("long").alias("component"))
 
 
+# --- documents: parsed, walked, shredded and scored ---
+
+query(documents.PARSE_ERRORS)(documents.document_parse_errors)
+query(documents.COMPONENTS)(documents.shredded_components)
+query(documents.ASSETS)(documents.shredded_assets)
+query(documents.CLAIMS)(documents.shredded_claims)
+_FRAMES, _RESULTS = documents.scored_sql(FRAMES, _ratio)
+query(over(_RESULTS, _FRAMES, RESOLVE, features(POOLS), COMPAT, VERDICTS, EVIDENCE, FALSE_POSITIVES))(documents.documents_scored)
+
+
 # --- text rules ---
 
 
@@ -249,12 +256,6 @@ def annotation_extract(t):
     return text.parse_annotations(lines).select(F.col("line").cast("long").alias("line"), "target", "id", "layer", "error")
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_])(tion)(?:$|\b)', '\1ACTION', 'g'), '(^|[^A-Za-z0-9_])(zq)(?:$|\b)', '\1ZQ', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')")
-def word_boundary_rename(t):
-    plain = t.table("documents").filter(~F.col("text").rlike("[^\\x00-\\x7f]"))
-    return plain.select("doc_id", F.sha2(text.rename_words(F.col("text"), {"tion": "ACTION", "zq": "ZQ"}), 256).alias("digest"))
-
-
 def _whole_word(inner: str, old: str, new: str) -> str:
     """ASCII word boundaries without look-around: twice, as neighbours share a boundary."""
     for _ in range(2):
@@ -263,7 +264,7 @@ def _whole_word(inner: str, old: str, new: str) -> str:
 
 
 @query(f"SELECT doc_id, sha256({_whole_word(_whole_word('text', 'tion', 'ACTION'), 'zq', 'ZQ')}) AS digest FROM documents")
-def word_boundary_rename_all(t):
+def word_boundary_rename(t):
     return t.table("documents").select("doc_id", F.sha2(text.rename_words(F.col("text"), {"tion": "ACTION", "zq": "ZQ"}), 256).alias("digest"))
 
 
@@ -278,9 +279,14 @@ def ansi_strip(t):
     return t.table("part").select(F.col("p_partkey").alias("part"), text.strip_ansi(F.expr("concat(char(27), '[1;32m', p_name, char(27), '[0m ', p_size)")).alias("plain"))
 
 
-@query()
+def _scrubbed(x: str) -> str:
+    """RE2 has no look-behind: the character before a path is captured and put back."""
+    return rf"CASE WHEN starts_with({x}, '/') THEN '<external>/' || list_last(string_split(regexp_replace({x}, '/+$', ''), '/')) ELSE regexp_replace({x}, '(^|[^A-Za-z0-9_:/])/(?:[A-Za-z0-9_.+-]+/)+([A-Za-z0-9_.+-]+)', '\1<external>/\2', 'g') END"
+
+
+@query(f"SELECT page_id, {_scrubbed('url')} AS url, {_scrubbed("'tool @ /build/root/' || page_id || '/bin'")} AS label, {_scrubbed("'/home/u' || page_id || '/bin/'")} AS whole FROM pages")
 def path_scrub(t):
-    return t.table("pages").select("page_id", text.scrub_paths("url").alias("url"), text.scrub_paths(F.concat(F.lit("tool @ /build/root/"), F.col("page_id").cast("string"), F.lit("/bin"))).alias("label"))
+    return t.table("pages").select("page_id", text.scrub_paths("url").alias("url"), text.scrub_paths(F.concat(F.lit("tool @ /build/root/"), F.col("page_id").cast("string"), F.lit("/bin"))).alias("label"), text.scrub_paths(F.concat(F.lit("/home/u"), F.col("page_id").cast("string"), F.lit("/bin/"))).alias("whole"))
 
 
 @query("SELECT url, regexp_extract(split_part(url, '?', 1), '(\\.[^./]+)$', 1) AS format FROM (SELECT DISTINCT url FROM pages)".replace("\\\\", "\\"))
@@ -291,7 +297,7 @@ def file_formats(t):
 @query("SELECT p_partkey AS part, (p_partkey % 5) = 0 OR (p_partkey % 7) = 0 AS kept FROM part")
 def cwe_rule_filter(t):
     rules = t.table("part").selectExpr("p_partkey AS part", "concat('CWE-', CASE WHEN p_partkey % 5 = 0 THEN '327' ELSE '79' END, ': x; CWE-', CASE WHEN p_partkey % 7 = 0 THEN '295' ELSE '20' END) AS cwe")
-    return rules.select("part", F.arrays_overlap(F.regexp_extract_all("cwe", F.lit(r"CWE-(\d+)"), F.lit(1)), naming.strings(["327", "295", "326"])).alias("kept"))
+    return rules.select("part", reports.names_cwe("cwe", ["327", "295", "326"]).alias("kept"))
 
 
 # --- tables held against each other ---
@@ -316,9 +322,11 @@ def duplicate_ids(t):
     return governance.duplicates(t.table("lineitem"), ["l_orderkey", "l_partkey"])
 
 
-@query("SELECT p_partkey AS path FROM part EXCEPT ALL SELECT l_partkey FROM lineitem")
+@query("SELECT 'f' || l_partkey AS path FROM lineitem EXCEPT ALL SELECT 'f' || l_partkey FROM lineitem WHERE l_linenumber % 3 > 0")
 def written_into_tree(t):
-    return governance.written_into(t.table("part").select(F.col("p_partkey").alias("path")), t.table("lineitem").select(F.col("l_partkey").alias("path")))
+    """Paths stand several times on both sides; those that the first has more often are left, as often as that."""
+    path = F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("path")
+    return governance.written_into(t.table("lineitem").select(path), t.table("lineitem").filter("l_linenumber % 3 > 0").select(path))
 
 
 @query("SELECT user_id AS run, bool_or(NOT (event_id % 9 > 0)) AS dirty FROM events GROUP BY user_id")

@@ -73,7 +73,7 @@ class Frames:
         return self.accepted().select("project", F.col("file").alias("path")).distinct()
 
     def claims(self) -> DataFrame:
-        return self._once("claims", lambda: score.resolve_claims(self.raw_claims().drop("project"), self.inputs(), self.files()))
+        return self._once("claims", lambda: score.resolve_claims(self.raw_claims(), self.inputs(), self.files()))
 
     def allowances(self) -> DataFrame:
         return self.spark.createDataFrame([("CSPRNG", None, None), ("GCM", None, None), ("MD5", "p1", "src/f3.c"), ("DES", "p2", None), ("SSLv3", "p0", "src/f5.c"), ("TLS", None, None)], "algorithm string, project string, file string")

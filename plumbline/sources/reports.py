@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SARIF = "runs array<struct<results:array<struct<ruleId:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>>>>"
@@ -32,6 +32,16 @@ def signatures_only(findings: DataFrame, pattern: str) -> DataFrame:
     return findings.filter(F.col("name").rlike(f"(?i){pattern}"))
 
 
+def names_cwe(cwe: str | Column, numbers: list[str]) -> Column:
+    """Whether a rule's text names a weakness of one of these numbers."""
+    return F.arrays_overlap(F.regexp_extract_all(cwe, F.lit(r"CWE-(\d+)"), F.lit(1)), F.array(*map(F.lit, numbers)))
+
+
+def without_curves(findings: DataFrame, curves: str) -> DataFrame:
+    """The findings whose name is no bare curve's (a pattern, in any case)."""
+    return findings.filter(~F.col("name").rlike(f"(?i)^(?:{curves})$"))
+
+
 def without_root(findings: DataFrame, root: str) -> DataFrame:
     """Files relative to a root folder where they lie below it."""
     prefix = root.rstrip("/") + "/"
