@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import re
 import shutil
@@ -38,6 +40,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
+_temporary: list[list[str]] = []
+
+
+def drop(spark: SparkSession, *written: DataFrame) -> None:
+    """Removes the files of written tables that nothing will read again."""
+    for df in written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.plumbline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Within, written tables are temporary: at the end all are removed but those given to the function that is yielded.
+
+    Shuffle files of frames that are no longer in use are freed as well.
+    """
+    made, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.plumbline_path)
+        return df
+
+    _temporary.append(made)
+    try:
+        yield keep
+    finally:
+        _temporary.pop()
+        drop(spark, *[df for df in made if df.plumbline_path not in kept])
+        if _temporary:
+            _temporary[-1].extend(df for df in made if df.plumbline_path in kept)
+        made.clear()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner free the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back.
 
@@ -47,7 +89,11 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.plumbline_path = path
+    if _temporary:
+        _temporary[-1].append(out)
+    return out
 
 
 def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:

@@ -27,10 +27,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: every node of `links` (columns u, v of one ordered type) but the roots, with its component's smallest node."""
+    spark = links.sparkSession
     now = common.materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     while True:
-        now = common.materialize(_small_star(_large_star(now)), "links")
+        before, now = now, common.materialize(_small_star(_large_star(now)), "links")
+        common.drop(spark, before)
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == state or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -291,13 +291,16 @@ def dealt(fps: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     order = order_bits(pairs, n)
     chance = distances(_table(fps.select("fp").mapInArrow(_histogram(order), "i long, j long, n long"), (8, 256)))
     layout, thresholds, _ = allocate(chance, n, limit)
-    rows = fps.mapInArrow(_prober(order, layout, thresholds), ", ".join(["key long, fp long, exact boolean", *(f"{c} long" for c in others)]))
-    hot = common.materialize(rows.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks")), "hot")
+    kinds = ", ".join(["key long, fp long, exact boolean", *(f"{c} long" for c in others)])
+    rows = fps.mapInArrow(_prober(order, layout, thresholds), kinds)
+    # A bucket's pairs have one fingerprint that is its own, so those are what makes it large.
+    own = fps.mapInArrow(_prober(order, layout, tuple(min(t, 0) for t in thresholds)), kinds)
+    hot = common.materialize(own.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks")), "hot")
     wide = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("fp", *others), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = wide.select("key", "fp", "exact", *others, F.coalesce(block, F.lit(0)).alias("b"), other.alias("o"))
-    cut = cut.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("sub"), "fp", "exact", *others)
+    cut = wide.select("key", "hot", "fp", "exact", *others, F.coalesce(block, F.lit(0)).alias("b"), other.alias("o"))
+    cut = cut.select(F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).alias("sub"), "fp", "exact", *others)
     return cut.repartition(common.partitions(spark), "sub").sortWithinPartitions("sub")
 
 

@@ -129,6 +129,10 @@ def test_buckets_cut_into_blocks(monkeypatch):
     fp = rng.integers(0, 1 << 62, 30)[rng.integers(0, 30, 400)] ^ (np.int64(1) << rng.integers(0, 60, 400))
     sub, node, exact, label = np.sort(rng.integers(0, 3, 400)), rng.permutation(400), rng.random(400) < 0.5, rng.integers(0, 50, 400)
     want = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(400) for j in range(i) if sub[i] == sub[j] and (exact[i] or exact[j]) and label[i] != label[j] and bin(int(fp[i] ^ fp[j])).count("1") <= 7}
-    for rows in (48, 1000):
-        monkeypatch.setattr(simhash, "SHIFT_ROWS", rows)
-        assert set(zip(*(x.tolist() for x in shingles.bucket_pairs(sub, fp, exact, node, label)))) == want and len(want) > 50
+    for most in (48, 1000):
+        monkeypatch.setattr(simhash, "SHIFT_ROWS", most)
+        got = {(min(node[i], node[j]), max(node[i], node[j])) for a, b in shingles._near_pairs(sub, fp, exact, label) for i, j in zip(a, b)}
+        assert got == want and len(want) > 50
+        u, v = shingles._star_pairs(sub, fp, exact, node, label)
+        at = {n: c for n, c in zip(node.tolist(), label.tolist())}
+        assert all(at[a] != at[b] for a, b in zip(u.tolist(), v.tolist())) and 0 < len(u) < len(want)
