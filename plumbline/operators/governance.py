@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import tables
+from plumbline.functions.text import image_repository
 
 
 def table_digests(spark) -> DataFrame:
@@ -42,6 +43,25 @@ def row_digests(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("name"), F.sha2(values, 256).alias("sha256"))
 
 
+def generated_and_shipped(generated: DataFrame, shipped: DataFrame) -> DataFrame:
+    """path, status (ok, missing, different) of every generated file (path, content): bytes are compared by digest; shipped files beside them are ignored."""
+    mark = lambda df, name: df.select("path", F.sha2(F.col("content").cast("binary"), 256).alias(name))
+    both = mark(generated, "_want").join(mark(shipped, "_have"), "path", "left")
+    return both.select("path", F.when(F.col("_have").isNull(), "missing").when(F.col("_have") == F.col("_want"), "ok").otherwise("different").alias("status"))
+
+
+def withheld_files(files: DataFrame) -> DataFrame:
+    """name, sha256, bytes of files (path, content), as a manifest records them."""
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("bytes"))
+
+
+def image_digest(image: Column, digests: Column) -> Column:
+    """The digest an image ran as, of the references that were found for it: the pinned one if it is among them, else the first of its repository."""
+    own = F.transform(F.filter(digests, lambda r: F.contains(r, F.lit("@")) & (F.substring_index(r, "@", 1) == image_repository(image))), lambda r: F.substring_index(r, "@", -1))
+    pinned = F.when(F.contains(image, F.lit("@")), F.substring_index(image, "@", -1))
+    return F.when(F.array_contains(own, pinned), pinned).otherwise(F.get(own, F.lit(0)))
+
+
 def written_into(after: DataFrame, before: DataFrame) -> DataFrame:
     """The paths that a run left behind."""
     return after.select("path").exceptAll(before.select("path"))
@@ -57,8 +77,9 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def invocation_status(log: DataFrame) -> DataFrame:
-    """Adds status to a log with exit_code, accepted (array), timed_out, bytes, is_json."""
-    status = F.when(F.col("timed_out"), "timeout").when(F.col("exit_code").isNull(), "error").when(~F.array_contains("accepted", F.col("exit_code")), "failed").when(F.col("bytes") == 0, "empty").when(~F.col("is_json"), "invalid-json").otherwise("ok")
+    """Adds status to a log with exit_code, accepted (array), timed_out, bytes, is_json, and export_error where a project could not be exported."""
+    exported = F.col("export_error").isNull() if "export_error" in log.columns else F.lit(True)
+    status = F.when(~exported, "export-failed").when(F.col("timed_out"), "timeout").when(F.col("exit_code").isNull(), "error").when(~F.array_contains("accepted", F.col("exit_code")), "failed").when(F.col("bytes") == 0, "empty").when(~F.col("is_json"), "invalid-json").otherwise("ok")
     return log.withColumn("status", status)
 
 

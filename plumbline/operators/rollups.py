@@ -36,6 +36,33 @@ def weaker_rules(verdict: DataFrame) -> DataFrame:
     return out.select("tool", "total", *flags, *[ratio(F.col(f), F.col("total")).alias(f"{f}_rate") for f in flags])
 
 
+#: What is summed per tool.
+SUMS = (
+    "detected", "total", "matched_components", "crypto_components", "credited_claims", "distinct_claims", "phantom_location", "phantom_algorithm", "false_positives", "unmatched_reports",
+    "with_location", "with_line", "using_spec_evidence", "using_properties_only", "total_occurrences", "resolvable_locations", "unresolvable_locations",
+)
+
+
+def per_tool(results: DataFrame) -> DataFrame:
+    """One row a tool: sums, ratios of sums (never means of ratios), and schema validity over the documents that were validated ("not run" if none was)."""
+    total = results.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("parse_error").alias("parse_errors"), F.count_if("schema_valid").alias("valid"), F.count("schema_valid").alias("validated"), *[F.sum(c).alias(c) for c in SUMS]
+    )
+    rates = {"detection_rate": ("detected", "total"), "precision": ("matched_components", "crypto_components"), "claim_precision": ("credited_claims", "distinct_claims")}
+    share = ratio(F.col("valid"), F.col("validated")).cast("string")
+    return total.select(
+        "*", *[ratio(F.col(a), F.col(b)).alias(c) for c, (a, b) in rates.items()], ratio(F.col("total_occurrences"), F.col("crypto_components"), 3).alias("occurrences_per_component"),
+        F.when(F.col("validated") == 0, "not run").otherwise(share).alias("schema_valid"),
+    )
+
+
+def layer_rates(verdict: DataFrame, keys=("tool",)) -> DataFrame:
+    """Keys, by_layer: layer (as text) -> detected, total, rate."""
+    each = verdict.groupBy(*keys, "layer").agg(F.count_if("detected").alias("detected"), F.count(F.lit(1)).alias("total"))
+    entry = F.struct(F.col("layer").cast("string").alias("key"), F.struct("detected", "total", ratio(F.col("detected"), F.col("total")).alias("rate")).alias("value"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("by_layer"))
+
+
 def unscored(projects: DataFrame, tools: DataFrame, scored: DataFrame) -> DataFrame:
     """project, tool pairs without a scored document. Both dimensions are small by nature."""
     return projects.select("project").distinct().crossJoin(tools.select("tool").distinct()).join(scored.select("project", "tool"), ["project", "tool"], "left_anti")

@@ -152,6 +152,7 @@ def results(inputs, verdict, hit, ev, classes) -> DataFrame:
         .withColumn("detection_rate", ratio(F.col("detected"), F.col("total")))
         .withColumn("precision", ratio(F.col("matched_components"), F.col("crypto_components")))
         .withColumn("claim_precision", ratio(F.col("credited_claims"), F.col("distinct_claims")))
+        .withColumn("occurrences_per_component", ratio(F.col("total_occurrences"), F.col("crypto_components"), 3))
     )
 
 

@@ -8,6 +8,7 @@ turn every figure to zero (no projects, an empty file listing) raise instead.
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -55,7 +56,7 @@ def accepted_locations(truth: DataFrame) -> DataFrame:
     return own.unionByName(each.select("project", "a.id", F.explode("a.accept_locations").alias("x")).select("project", "id", "x.file", "x.line"))
 
 
-def _relative(root: str) -> Column:
+def relative_path(root: str) -> Column:
     """A file's path below the root folder, percent-decoded."""
     path = F.try_url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B"))
     plain = F.regexp_replace(F.coalesce(path, F.col("path")), "^[a-z0-9]+:/+", "/")
@@ -65,7 +66,7 @@ def _relative(root: str) -> Column:
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """source (path below the root), raw: every *.json below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    return files.select(_relative(root).alias("source"), lenient_text(F.col("content")).alias("raw"))
+    return files.select(relative_path(root).alias("source"), lenient_text(F.col("content")).alias("raw"))
 
 
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def project_files(spark: SparkSession, folder: str, truth: DataFrame) -> DataFra
 
     Only paths are selected, so file contents aren't read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_relative(folder).alias("path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(relative_path(folder).alias("path"))
     base = truth.select("project", F.regexp_replace("corpus_path", "^corpus/+|/+$", "").alias("base"))
     below = files.withColumn("base", F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")).join(base, "base")
     inner = below.select("project", F.expr("substring(path, length(base) + 2)").alias("path"))
@@ -133,10 +134,48 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def discover_projects(spark: SparkSession, folder: str, metadata_name: str) -> DataFrame:
+    """language, project: the folders two levels below the root that hold a metadata file, by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", metadata_name).load(folder).select(relative_path(folder).alias("path"))
+    parts = F.split("path", "/")
+    return files.filter(F.size(parts) == 3).select(F.element_at(parts, 1).alias("language"), F.element_at(parts, 2).alias("project")).orderBy("language", "project")
+
+
+def project_metadata(spark: SparkSession, folder: str, metadata_name: str) -> dict:
+    """A project's metadata. Raises where the file is missing or no object; a project's file is small by nature."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", metadata_name).load(folder).select(lenient_text(F.col("content"))).take(1)
+    if not found:
+        raise ValueError(f"no {metadata_name} in {folder}")
+    out = json.loads(found[0][0])
+    if not isinstance(out, dict):
+        raise ValueError(f"{metadata_name} in {folder} is no object")
+    return out
+
+
+#: The part of a results file that reports read again.
+RESULTS = """meta map<string,string>, results array<struct<project:string,language:string,tool:string,source:string,detected:bigint,total:bigint,
+assets:array<struct<id:string,algorithm:string,layer:int,asset_type:string,format:string,detected:boolean,located:boolean,file_only:boolean,name_only:boolean>>>>"""
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """project, language, tool, source, detected, total, assets: the documents of a results file (or a folder of them), as `render.write_json` writes them."""
+    return spark.read.schema(RESULTS).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+
+
+#: Files of templates that are copied byte by byte.
+BINARY = r"(?i)\.(pem|p12|der|jks|key|crt|png|jar|zip)$"
+
+
+def template_binaries(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content of the template files that have no lines."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(relative_path(folder).alias("path"), "content")
+    return files.filter(F.col("path").rlike(BINARY))
+
+
 def template_lines(spark: SparkSession, folder: str, metadata_name: str) -> DataFrame:
     """path (below the folder), line (from 1), text: text files of a template tree without its metadata files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).withColumn("path", _relative(folder))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).withColumn("path", relative_path(folder))
     skip = (".git", "__pycache__", "node_modules", "target", "build", ".gradle")
     kept = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip)))).filter(F.element_at(F.split("path", "/"), -1) != metadata_name)
-    text = kept.filter(~F.col("path").rlike(r"(?i)\.(pem|p12|der|jks|key|crt|png|jar|zip)$")).select("path", F.posexplode(F.split(lenient_text(F.col("content")), "\n")).alias("pos", "text"))
+    text = kept.filter(~F.col("path").rlike(BINARY)).select("path", F.posexplode(F.split(lenient_text(F.col("content")), "\n")).alias("pos", "text"))
     return text.select("path", (F.col("pos") + 1).alias("line"), "text")

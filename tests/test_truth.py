@@ -50,7 +50,7 @@ def test_detectable_and_keys(spark):
 
 def test_variants(spark):
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(["seal a_seal seal2 seal", "k1: 1", "k2: 2", "k3: 3", "end AES"], 1)], "path string, line int, text string")
-    out = truth.variant_lines(lines, {"seal": "lock", "a_seal": "b$"}, [("AES", "DES")], 7, "^k[0-9]:")
+    out = truth.variant_lines(lines, {"seal": "lock", "a_seal": "b$"}, [{"from": "AES", "to": "DES"}], 7, "^k[0-9]:")
     got = {r.line: r.text for r in out.collect()}
     assert got[1] == "lock b$ seal2 lock" and got[5] == "end DES" and sorted(got[i] for i in (2, 3, 4)) == ["k1: 1", "k2: 2", "k3: 3"]
 
