@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names as naming
 from plumbline.functions import paths, text
-from plumbline.operators import governance, rollups, score, shred
+from plumbline.operators import governance, rollups, score, shred, truth
 from plumbline.plans import documents
 from plumbline.plans.frames import PLANTED, REPORTED, Frames, quoted
 from plumbline.plans.oracle import COMPAT, EVIDENCE, FALSE_POSITIVES, FRAMES, POOLS, RESOLVE, SCORED, VERDICTS, features, over
@@ -231,8 +231,29 @@ query(documents.PARSE_ERRORS)(documents.document_parse_errors)
 query(documents.COMPONENTS)(documents.shredded_components)
 query(documents.ASSETS)(documents.shredded_assets)
 query(documents.CLAIMS)(documents.shredded_claims)
-_FRAMES, _RESULTS = documents.scored_sql(FRAMES, _ratio)
-query(over(_RESULTS, _FRAMES, RESOLVE, features(POOLS), COMPAT, VERDICTS, EVIDENCE, FALSE_POSITIVES))(documents.documents_scored)
+query(documents.SCHEMA_ERRORS)(documents.schema_errors)
+query(documents.SAMPLES)(documents.sample_components)
+query(over(documents.results_sql(_ratio), documents.spoken(FRAMES), RESOLVE, features(POOLS), COMPAT, VERDICTS, EVIDENCE, FALSE_POSITIVES))(documents.documents_scored)
+
+_VALID = "CASE WHEN i.tool <> '5-LOW' THEN i.project <> 'p3' END"
+
+
+@query(over(f"""SELECT tool, count(*) AS documents, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(credited_claims) AS BIGINT) AS credited_claims, CAST(sum(false_positives) AS BIGINT) AS false_positives, CAST(sum(total_occurrences) AS BIGINT) AS total_occurrences,
+  {_ratio('sum(detected)', 'sum(total)')} AS detection_rate, {_ratio('sum(matched_components)', 'sum(crypto_components)')} AS component_precision, {_ratio('sum(credited_claims)', 'sum(distinct_claims)')} AS claim_precision,
+  CASE WHEN sum(crypto_components) = 0 THEN 0.0 ELSE round_even(sum(total_occurrences) / sum(crypto_components), 3) END AS occurrences_per_component, CASE WHEN count(valid) = 0 THEN 'not run' ELSE CAST(count(*) FILTER (WHERE valid) AS VARCHAR) || ' of ' || count(valid) END AS schema_valid
+FROM (SELECT r.*, phantom_algorithm + phantom_location AS false_positives, i.tool, {_VALID} AS valid FROM ({documents.results_sql(_ratio)}) r JOIN inputs i USING (source)) GROUP BY tool""", *SCORED, EVIDENCE, FALSE_POSITIVES))
+def summary_by_tool(t):
+    """Ratios of sums, occurrences a component and schema validity, which is not run for one tool."""
+    valid = F.when(F.col("tool") != "5-LOW", F.col("project") != "p3")
+    results = score.results(t.inputs().withColumn("parse_error", F.lit(None).cast("string")), t.verdicts(), t.hits(), score.evidence(t.inputs(), t.assets(), t.claims()), _classes(t)).withColumn("schema_valid", valid)
+    per = rollups.per_tool(results)
+    told = F.when(F.col("validated") == 0, F.col("schema_valid")).otherwise(F.concat(F.col("valid").cast("string"), F.lit(" of "), F.col("validated").cast("string")))
+    return per.select("tool", "documents", "detected", "credited_claims", "false_positives", "total_occurrences", "detection_rate", F.col("precision").alias("component_precision"), "claim_precision", "occurrences_per_component", told.alias("schema_valid"))
+
+
+@query(over(f"SELECT language, tool, CAST(layer AS VARCHAR) AS layer, count(*) FILTER (WHERE detected) AS detected, count(*) AS total, {_ratio('count(*) FILTER (WHERE detected)', 'count(*)')} AS rate FROM verdict GROUP BY 1, 2, 3", *SCORED))
+def layer_rates_by_language(t):
+    return rollups.layer_rates(t.verdicts(), ("language", "tool")).select("language", "tool", F.explode("by_layer").alias("layer", "v")).select("language", "tool", "layer", "v.*")
 
 
 # --- text rules ---
@@ -317,6 +338,38 @@ def archive_verify(t):
     return governance.verify(recorded, present)
 
 
+@query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'different' ELSE 'ok' END AS status FROM documents WHERE doc_id % 3 <> 0")
+def generated_against_shipped(t):
+    """Every third document is shipped but not generated, every seventh generated but not shipped, every fifth other than shipped."""
+    files = t.table("documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    shipped = files.filter("doc_id % 7 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    return governance.generated_and_shipped(files.filter("doc_id % 3 <> 0"), shipped)
+
+
+@query("SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN 'sha256:2' WHEN 1 THEN 'sha256:1' WHEN 2 THEN 'sha256:1' END AS digest FROM part")
+def image_digests(t):
+    image = F.expr("concat('host:80/', p_brand, CASE p_partkey % 4 WHEN 0 THEN '@sha256:2' WHEN 1 THEN ':v1' WHEN 2 THEN '@sha256:9' ELSE '-other' END)")
+    own = F.concat(F.lit("host:80/"), F.col("p_brand"))
+    digests = F.array(F.concat(own, F.lit("x@sha256:0")), own, F.concat(own, F.lit("@sha256:1")), F.concat(own, F.lit("@sha256:2")))
+    return t.table("part").select(F.col("p_partkey").alias("part"), governance.image_digest(image, digests).alias("digest"))
+
+
+_LINKS = "(VALUES ('k0', 'benchmark'), ('k1', 'password'), ('k2', 'no such word anywhere'), ('k3', 'the')) h(algorithm, hint)"
+
+
+@query(f"""WITH p AS (SELECT n_nationkey AS id, 'k' || (n_nationkey % 4) AS algorithm, 'd' || (n_nationkey + 1) AS file FROM nation), low AS (SELECT 'd' || doc_id AS path, lower(text) AS text FROM documents),
+held AS (SELECT DISTINCT p.id, l.path, l.text FROM p JOIN {_LINKS} USING (algorithm) JOIN low l ON contains(l.text, h.hint)),
+words AS (SELECT DISTINCT p.id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z_][a-z0-9_]{{3,}}')) AS symbol FROM p JOIN documents ON 'd' || doc_id = p.file)
+SELECT p.id, EXISTS (SELECT 1 FROM held h WHERE h.id = p.id) AS held, EXISTS (SELECT 1 FROM held h JOIN words w ON w.id = h.id AND contains(h.text, w.symbol) WHERE h.id = p.id) AS linked FROM p""")
+def symbol_links(t):
+    """Nations are plants whose lines are the beginnings of documents; the documents are the files."""
+    plants = t.table("nation").selectExpr("n_nationkey AS id", "concat('k', n_nationkey % 4) AS algorithm")
+    files = t.table("documents").selectExpr("concat('d', doc_id) AS path", "text")
+    places = t.table("nation").selectExpr("n_nationkey AS id", "concat('d', n_nationkey + 1) AS file", "1 AS line")
+    hints = t.spark.createDataFrame([("k0", "benchmark"), ("k1", "password"), ("k2", "no such word anywhere"), ("k3", "the")], "algorithm string, hint string")
+    return truth.linked(plants, places, files.selectExpr("path", "1 AS line", "substr(text, 1, 60) AS text"), files, hints)
+
+
 @query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(t):
     return governance.duplicates(t.table("lineitem"), ["l_orderkey", "l_partkey"])

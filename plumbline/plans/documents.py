@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import tables
-from plumbline.operators import run, shred
+from plumbline.operators import governance, run, shred
+from plumbline.operators import truth as truth_ops
 from plumbline.plans.frames import REPORTED, Frames, quoted
 from plumbline.sources.stored import cut
 
@@ -122,25 +123,54 @@ def documents_scored(t: Frames) -> DataFrame:
     return done.results.select("source", *RESULT)
 
 
+def schema_errors(t: Frames) -> DataFrame:
+    """source, message, n: the structural errors of the customers' documents."""
+    parsed = cut(shred.parse(customer_documents(t)), "parsed").filter("bom is not null")
+    errors = governance.structural_errors(parsed, shred.components(parsed))
+    return errors.groupBy("source", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+SCHEMA_ERRORS = f"""WITH {NODES} SELECT DISTINCT source, 'specVersion is required' AS message, 1 AS n FROM (SELECT 'c' || o_custkey AS source FROM orders WHERE o_custkey % 6 <> 4 AND o_custkey % 12 <> 5)
+UNION ALL SELECT source, 'type is not one of the enumeration', count(*) FROM nodes WHERE j = 0 AND kind = 1 GROUP BY 1"""
+
+
+def sample_components(t: Frames) -> DataFrame:
+    """project, tool, and how many components, placed claims and claims without a line the sample documents of the frames' truth hold."""
+    samples = truth_ops.sample_documents(truth(t).withColumn("assets", F.array_sort("assets")))
+    found = cut(shred.assets(shred.components(cut(shred.parse(samples), "samples"))), "samples")
+    claims = shred.occurrences(found).groupBy("source").agg(F.count("line").alias("placed"), F.count_if(F.col("line").isNull()).alias("bare"))
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("components")).join(claims, "source").select("source", "components", "placed", "bare")
+
+
+#: Of the truth's plants in order of their ids; every kind of them is an algorithm.
+SAMPLES = """WITH p AS (SELECT 'p' || (p_partkey % 6) AS project, CAST(1 + (p_partkey // 6) % 6 AS INTEGER) AS layer, row_number() OVER (PARTITION BY p_partkey % 6 ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT project || '__demo-precise' AS source, count(*) AS components, count(*) AS placed, 0 AS bare FROM p WHERE layer IN (1, 2, 4, 6) GROUP BY 1
+UNION ALL SELECT project || '__demo-srcfile', count(*), 0, count(*) FROM p WHERE layer IN (1, 2, 4, 6) GROUP BY 1
+UNION ALL SELECT project || '__demo-noisy', 2 + count(*) FILTER (WHERE layer IN (1, 3) AND i % 2 = 0), 2 + count(*) FILTER (WHERE layer IN (1, 3) AND i % 2 = 0), 0 FROM p GROUP BY 1"""
+
 RESULT = (
     "detected", "total", "matched_components", "credited_claims", "phantom_algorithm", "phantom_location", "unmatched_reports", "crypto_components", "with_location", "with_line", "using_spec_evidence",
     "using_properties_only", "total_occurrences", "distinct_claims", "resolvable_locations", "unresolvable_locations", "detection_rate", "precision", "claim_precision",
 )
 
 
-def scored_sql(frames: str, ratio) -> tuple[str, str]:
-    """(the frames with what documents can say, the SELECT): a dependency's second name is a version, which must be short; a component's properties make one claim."""
+def spoken(frames: str) -> str:
+    """The frames with what documents can say: a dependency's second name is a version, which must be short; a component's properties make one claim."""
     second = f"pool[1 + (idx // {N}) % {N}]"
     frames = frames.replace(f"SELECT DISTINCT source, idx, is_dependency, {second} FROM assets WHERE idx % 3 = 0", f"SELECT DISTINCT source, idx, is_dependency, {second} FROM assets WHERE idx % 3 = 0 AND (NOT is_dependency OR length({second}) < 24)")
     frames = frames.replace("raw_claims AS (SELECT", "all_claims AS (SELECT l_linenumber, l_partkey,")
     frames += """, raw_claims AS (SELECT source, project, idx, file, line, shape FROM all_claims WHERE shape <> 'properties'
   UNION ALL SELECT source, project, idx, arg_min(file, row(l_linenumber, file, line)) FILTER (WHERE file IS NOT NULL), arg_min(line, row(l_linenumber, file, line)) FILTER (WHERE line IS NOT NULL), 'properties' FROM all_claims WHERE shape = 'properties' GROUP BY 1, 2, 3)
 """
-    select = f"""SELECT e.source, v.detected, v.total, coalesce(m.n, 0) AS matched_components, coalesce(k.n, 0) AS credited_claims, coalesce(f.pa, 0) AS phantom_algorithm, coalesce(f.pl, 0) AS phantom_location, coalesce(f.un, 0) AS unmatched_reports,
+    return frames
+
+
+def results_sql(ratio) -> str:
+    """A row a source: the counts and ratios of a scored document."""
+    return f"""SELECT e.source, v.detected, v.total, coalesce(m.n, 0) AS matched_components, coalesce(k.n, 0) AS credited_claims, coalesce(f.pa, 0) AS phantom_algorithm, coalesce(f.pl, 0) AS phantom_location, coalesce(f.un, 0) AS unmatched_reports,
   crypto_components, with_location, with_line, using_spec_evidence, using_properties_only, total_occurrences, distinct_claims, resolvable_locations, unresolvable_locations,
   {ratio('v.detected', 'v.total')} AS detection_rate, {ratio('coalesce(m.n, 0)', 'crypto_components')} AS precision, {ratio('coalesce(k.n, 0)', 'distinct_claims')} AS claim_precision
 FROM evidence e JOIN (SELECT source, count(*) FILTER (WHERE detected) AS detected, count(*) AS total FROM verdict GROUP BY 1) v USING (source)
 LEFT JOIN (SELECT source, count(DISTINCT matched_component) AS n FROM verdict WHERE matched_component IS NOT NULL AND NOT by_dependency GROUP BY 1) m USING (source)
 LEFT JOIN (SELECT source, count(DISTINCT idx || '|' || file) AS n FROM hit WHERE ok AND NOT is_dependency GROUP BY 1) k USING (source)
 LEFT JOIN (SELECT source, count(*) FILTER (WHERE verdict = 'phantom_algorithm') AS pa, count(*) FILTER (WHERE verdict = 'phantom_location') AS pl, count(*) FILTER (WHERE verdict = 'unmatched') AS un FROM classes GROUP BY 1) f USING (source)"""
-    return frames, select
