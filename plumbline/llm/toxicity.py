@@ -65,6 +65,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(_mix(rolled[ok] + np.uint64(n)))
             owners.append(owner[: len(rolled)][ok])
     starts = np.cumsum(lengths) - lengths
+    # The powers are rounded to doubles, so a long word's mark keeps its high bits only; models differ with it, so it stays.
     weights = np.concatenate([[1], np.cumprod(np.full(int(lengths.max()), base, np.uint64))[:-1]]).astype(np.uint64)
     whole = np.add.reduceat(chars * weights[np.arange(len(chars)) - np.repeat(starts, lengths)], starts)
     hashes.append(_mix(whole + np.uint64(99)))
@@ -76,9 +77,13 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(word numbers, words a text, distinct words): lower case, surrounding punctuation cut off."""
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(lower))
+    trimmed = pc.utf8_trim_whitespace(lower)
+    parts = pc.utf8_split_whitespace(trimmed)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = pc.utf8_trim(parts.flatten(), characters=".,;:!?\"'()[]{}#$%&*|<>")
+    blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)  # such a text splits into one empty part
+    found = parts.flatten().filter(pa.array(np.repeat(~blank, counts)))
+    counts = np.where(blank, 0, counts)
+    values = pc.utf8_trim(found, characters=".,;:!?\"'()[]{}#$%&*|<>")
     encoded = values.dictionary_encode()
     return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, units.strings_of(encoded.dictionary)
 
@@ -158,11 +163,12 @@ def remainder(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[bytes, float]:
-    """Weights and bias, learnt in one task from about `sample_rows` labelled rows at most."""
+    """Weights and bias, learnt in one task from `sample_rows` labelled documents at most, those of least hash; a doc_id is one document, of repeated rows the one with the least text."""
     known = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter(F.col("toxic").isin(0, 1) & (F.col("toxic") == F.col("other")) & (remainder(F.col("doc_id")) != 2)).select("doc_id", "toxic")
     share = min(1.0, sample_rows / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    chosen = known.filter(mark <= int(share * 1_100_000)).orderBy(mark, "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     found = rows.repartition(1).mapInArrow(_train_batches, "weights binary, bias double").collect()
     if not found:  # Spark leaves out a task whose input is known to be empty
         return np.zeros(BUCKETS, "<f4").tobytes(), 0.0

@@ -1,7 +1,11 @@
 """Certified cutoffs on small holdouts."""
 
+import math
+
 from plumbline.llm import common, quality
 
+from tests.llm.test_scans import brute_counts
+
 
 def table(spark, sizes, junk_every=10, harmful=()):
     """Good and junk texts a stratum; in a harmful one, good texts look like junk."""
@@ -56,3 +60,79 @@ def test_repeated_rows_certify_nothing(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     cutoffs = quality.certified_cutoffs(common.materialize(quality.with_counts(df), "q"), labels)
     assert cutoffs == ({}, {})
+
+
+def plain_bound(k, n, delta):
+    """The p at which k or fewer of n have probability delta, by bisection over the plain sum."""
+    if n == 0 or k >= n:
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        low, high = (p, high) if tail > delta else (low, p)
+    return high
+
+
+def plain_kept(docs, labels):
+    """doc_id -> kept, recomputed without Spark: brute counts, one holdout row a document, strata and ladders by hand."""
+    label = {}
+    for r in labels:
+        label.setdefault(r.doc_id, set()).add(r.quality)
+    label = {k: v.pop() for k, v in label.items() if len(v) == 1 and None not in v}
+    values, failed = {}, {}
+    for d in docs:
+        n, chars, symbols, dup, repeat = brute_counts(d.text)
+        lines = sum(bool(x.split()) for x in (d.text or "").split("\n"))
+        values[d.doc_id] = {"symbol_ratio": symbols / max(chars, 1), "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": repeat / max(n, 1), "mean_word_chars": chars / max(n, 1)}
+        failed[d.doc_id] = n < 50 or 100 * repeat > 50 * n
+    rules, confidence, risk = quality.RULES, 0.05, 0.01
+    held = [d for d in docs if not failed[d.doc_id] and d.doc_id in label]
+    bad = {r: [sum(values[d.doc_id][r] > c for d in held if label[d.doc_id] == 0) for c in cuts] for r, cuts in rules.items()}
+    steps = []
+    rest = {r: len(cuts) for r, cuts in rules.items()}
+    for r in sorted(rules, key=lambda r: -bad[r][0]):
+        if bad[r][0]:
+            loosest = max(i for i, b in enumerate(bad[r]) if b == bad[r][0])
+            steps += [(r, rules[r][i]) for i in range(len(rules[r]) - 1, loosest - 1, -1)]
+            rest[r] = loosest
+    for level in range(1, 20):
+        steps += [(r, rules[r][rest[r] - level]) for r in rules if level <= rest[r]]
+    good = {}
+    for d in held:
+        if label[d.doc_id] == 1:
+            good.setdefault(d.lang, []).append(values[d.doc_id])
+    strata = {d.lang for d in docs}
+    tested = sorted((s for s in good), key=lambda s: -len(good[s]))
+    share = lambda: confidence / max(1, len(tested) + (len(tested) < len(strata)))
+    while tested and plain_bound(0, len(good[tested[-1]]), share()) > risk:
+        tested.pop()
+    delta = share()
+
+    def climb(rows):
+        out = {}
+        for k, (r, c) in enumerate(steps):
+            if plain_bound(sum(any(v[a] > b for a, b in steps[: k + 1]) for v in rows), len(rows), delta) > risk:
+                break
+            out[r] = c
+        return out
+
+    every = [v for rows in good.values() for v in rows]
+    cutoffs = {s: climb(every) for s in strata - set(tested)}
+    each = delta / sum(map(len, rules.values()))
+    for s in tested:
+        if plain_bound(0, len(good[s]), each) <= risk / len(rules):
+            ok = {r: [c for c in cuts if plain_bound(sum(v[r] > c for v in good[s]), len(good[s]), each) <= risk / len(rules)] for r, cuts in rules.items()}
+            cutoffs[s] = {r: min(c) for r, c in ok.items() if c}
+        else:
+            cutoffs[s] = climb(good[s])
+    return {d.doc_id: not failed[d.doc_id] and all(values[d.doc_id][r] <= c for r, c in cutoffs[d.lang].items()) for d in docs}, cutoffs
+
+
+def test_verdicts_against_a_plain_version(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = common.documents(spark, sf).select("doc_id", "lang", "text")
+    want, cutoffs = plain_kept(docs.collect(), labels.collect())
+    assert {r.doc_id: r.kept for r in quality.quality_verdicts(docs, labels).collect()} == want
+    assert any(cutoffs.values())

@@ -1,8 +1,10 @@
 """Operator 8: exact round trips."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,19 +40,28 @@ def test_cuts():
     assert len(shared) >= 8
 
 
+def plain_feature(payload, pieces):
+    counts = Counter(payload)
+    bits = sum(-c / len(payload) * math.log2(c / len(payload)) for c in counts.values())
+    return f"chunks={pieces};values={len(counts)};mean={sum(payload) / len(payload):.4f};bits={bits + 0.0:.4f}"
+
+
 def want(df):
     out = []
     for r in df.select("doc_id", "text").collect():
         raw = (r.text or "").encode()
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        out.append((r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+        ends = [0, *media.cuts(p)]
+        pieces = [p[a:b] for a, b in zip(ends, ends[1:])]
+        form = b"".join(hashlib.sha256(x).digest()[:16] + len(x).to_bytes(4, "little") for x in pieces) + p
+        out.append((r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(form), hashlib.sha256(form).hexdigest(), plain_feature(p, len(pieces))))
     return sorted(out, key=repr)
 
 
 def check(df):
     documents, stored = media.write_media(df)
     got = documents.join(media.read_media(stored), "media")
-    assert fixtures.rows(got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) == want(df)
+    assert fixtures.rows(got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want(df)
     return got, stored
 
 
@@ -63,6 +74,12 @@ def test_round_trip(spark):
     assert none.count() == 0
 
 
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(3)
+    text = " ".join(fixtures.words(rng, 400) for _ in range(1000))
+    check(spark.createDataFrame([(1, text), (2, text[500_000:] + "x"), (3, "ab" * 700_000)], "doc_id long, text string"))
+
+
 def test_each_chunk_is_stored_once(spark):
     base = " ".join(f"word{i}" for i in range(9000))
     df = spark.createDataFrame([(i, base[: 40_000 + 900 * (i % 5)]) for i in range(20)], "doc_id long, text string")
