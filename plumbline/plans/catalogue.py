@@ -85,6 +85,7 @@ LEFT JOIN (SELECT source, count(DISTINCT idx || '|' || file) AS k FROM hit WHERE
 
 @query(over(PRECISION, *SCORED, EVIDENCE))
 def precision_by_source(t):
+    t.kept |= {"claims", "hits"}
     ev = score.evidence(t.inputs(), t.assets(), t.claims()).select("source", "crypto_components", "distinct_claims")
     m = score.matched_components(t.hits()).groupBy("source").agg(F.count(F.lit(1)).alias("matched_components"))
     k = score.credited_claims(t.hits()).groupBy("source").agg(F.count(F.lit(1)).alias("credited_claims"))
@@ -103,6 +104,7 @@ def weaker_rules(t):
 
 
 def _classes(t):
+    t.kept |= {"claims"}
     matched = score.matched_components(t.hits())
     return score.false_positive_classes(t.inputs(), t.plants(), t.accepted(), t.assets(), t.claims(), matched, t.credible(), t.allowances())
 
@@ -244,6 +246,7 @@ _VALID = "CASE WHEN i.tool <> '5-LOW' THEN i.project <> 'p3' END"
 FROM (SELECT r.*, phantom_algorithm + phantom_location AS false_positives, i.tool, {_VALID} AS valid FROM ({documents.results_sql(_ratio)}) r JOIN inputs i USING (source)) GROUP BY tool""", *SCORED, EVIDENCE, FALSE_POSITIVES))
 def summary_by_tool(t):
     """Ratios of sums, occurrences a component and schema validity, which is not run for one tool."""
+    t.kept |= {"claims", "hits"}
     valid = F.when(F.col("tool") != "5-LOW", F.col("project") != "p3")
     results = score.results(t.inputs().withColumn("parse_error", F.lit(None).cast("string")), t.verdicts(), t.hits(), score.evidence(t.inputs(), t.assets(), t.claims()), _classes(t)).withColumn("schema_valid", valid)
     per = rollups.per_tool(results)

@@ -24,16 +24,17 @@ def quoted(values) -> str:
 
 
 class Frames:
-    """The frames of one query. Those that a query uses more than once are written once."""
+    """The frames of one query. Those in `kept`, which a query uses more than once, are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._written: dict[str, DataFrame] = {}
+        self.kept = {"credible"}
+        self._made: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
-        if name not in self._written:
-            self._written[name] = cut(make(), name)
-        return self._written[name]
+        if name not in self._made:
+            self._made[name] = cut(make(), name) if name in self.kept else make()
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
