@@ -276,37 +276,51 @@ def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def dealt(fps: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rows of `fps` (fp and other columns of type long) in every bucket they probe: sub, fp, exact, the others.
-
-    Two fingerprints of one family that differ in `limit` bits or fewer share a
-    `sub` in which one of them is exact. The rows are dealt and sorted by sub; a
-    bucket of more than `hot_rows` is cut into blocks, each pair of which is a
-    sub of its own.
-    """
-    spark = fps.sparkSession
-    others = [c for c in fps.columns if c != "fp"]
+def parts_of(fps: DataFrame, limit: int) -> tuple[list[int], tuple[int, ...], tuple[int, ...]]:
+    """(order of the bits, groups a part, thresholds) for the fingerprints `fp`."""
     pairs = _table(fps.select("fp").mapInArrow(_pair_counts, "i long, j long, n double"), (BITS, BITS))
     n = fps.count()
     order = order_bits(pairs, n)
     chance = distances(_table(fps.select("fp").mapInArrow(_histogram(order), "i long, j long, n long"), (8, 256)))
-    layout, thresholds, _ = allocate(chance, n, limit)
-    kinds = ", ".join(["key long, fp long, exact boolean", *(f"{c} long" for c in others)])
-    rows = fps.mapInArrow(_prober(order, layout, thresholds), kinds)
-    # A bucket's pairs have one fingerprint that is its own, so those are what makes it large.
-    own = fps.mapInArrow(_prober(order, layout, tuple(min(t, 0) for t in thresholds)), kinds)
-    hot = common.materialize(own.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks")), "hot")
-    wide = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col("key") == F.col("hot"), "left")
+    return order, *allocate(chance, n, limit)[:2]
+
+
+def hot_buckets(fps: DataFrame, parts, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """hot (key), blocks of the buckets with more than `hot_rows` own fingerprints: a bucket's pairs have one that is its own."""
+    order, layout, thresholds = parts
+    own = fps.mapInArrow(_prober(order, layout, tuple(min(t, 0) for t in thresholds)), _probed(fps))
+    hot = own.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
+    hot = common.materialize(hot, "hot")
+    return F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+
+
+def _probed(fps: DataFrame) -> str:
+    return ", ".join(["key long, fp long, exact boolean", *(f"{c} long" for c in fps.columns if c != "fp")])
+
+
+def dealt(fps: DataFrame, parts, hot: DataFrame) -> DataFrame:
+    """The rows of `fps` (fp and other columns of type long) in every bucket they probe: sub, fp, exact, the others.
+
+    Two fingerprints of one family that differ in as many bits as `parts` were
+    made for, or fewer, share a `sub` in which one of them is exact. The rows
+    are dealt and sorted by sub; a hot bucket is cut into blocks, each pair of
+    which is a sub of its own. `parts` and `hot` may come from a larger set of
+    fingerprints: any allocation finds all pairs, only its cost is chosen.
+    """
+    others = [c for c in fps.columns if c != "fp"]
+    rows = fps.mapInArrow(_prober(*parts), _probed(fps))
+    wide = rows.join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("fp", *others), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = wide.select("key", "hot", "fp", "exact", *others, F.coalesce(block, F.lit(0)).alias("b"), other.alias("o"))
     cut = cut.select(F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).alias("sub"), "fp", "exact", *others)
-    return cut.repartition(common.partitions(spark), "sub").sortWithinPartitions("sub")
+    return cut.repartition(common.partitions(fps.sparkSession), "sub").sortWithinPartitions("sub")
 
 
 def links(fps: DataFrame, limit: int = MAX_DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """u, v: a link table with the same components as all pairs of distinct `fp` that differ in at most `limit` bits."""
-    return dealt(fps, limit, hot_rows).mapInArrow(_linker(limit), "u long, v long")
+    parts = parts_of(fps, limit)
+    return dealt(fps, parts, hot_buckets(fps, parts, hot_rows)).mapInArrow(_linker(limit), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
