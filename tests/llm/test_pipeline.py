@@ -9,7 +9,7 @@ import public_tokenizers
 from plumbline.llm import bpe, common, mixture, quality, secrets
 
 from tests.llm import fixtures
-from tests.llm.test_scans import brute_counts
+from tests.llm.test_scans import WORD, brute_counts
 from tests.llm.test_shingles import brute_groups
 
 
@@ -58,14 +58,25 @@ def test_run(spark):
         for s, _, e, _ in spans:
             gone |= set(range(s, e))
         d["text"] = "".join("" if i in gone and i - 1 in gone else "[SECRET]" if i in gone else c for i, c in enumerate(d["text"]))
-    df = spark.createDataFrame(kept, table.schema)
-    copies = {r.doc_id: max(1, round(r.taken / r["size"])) for r in mixture.mixture(df).collect() if r.taken}
+    # The mix: every document whole epochs of its source, some of them once more, and the words of each source meet its target.
+    size, longest = Counter(), Counter()
+    words = lambda d: len(WORD.findall(d["text"] or ""))
+    for d in kept:
+        size[d["source"]] += words(d)
+        longest[d["source"]] = max(longest[d["source"]], words(d))
+    names = sorted(size)
+    goal = dict(zip(names, mixture.targets([size[k] for k in names], [(1, 2, 3)[i % 3] for i in range(len(names))])))
     tik = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    want = Counter()
+    known = {}
     for d in kept:
         ids = tik.encode_ordinary(d["text"])
-        row = (d["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(d["text"].encode()).hexdigest())
-        if d["doc_id"] in copies:
-            want[row] += copies[d["doc_id"]]
-    got = corpus_pipeline.run(spark, sf)
-    assert Counter(tuple(r) for r in got.collect()) == want and len(want) > 50
+        known[d["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(d["text"].encode()).hexdigest()] = d
+    assert len(known) == len(kept) > 50
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect())
+    assert set(got) <= set(known)
+    taken = Counter()
+    for row, d in known.items():
+        whole = min(round(goal[d["source"]]), 3 * size[d["source"]]) // size[d["source"]]
+        assert got[row] in (whole, whole + 1)
+        taken[d["source"]] += got[row] * words(d)
+    assert all(abs(taken[k] - goal[k]) <= longest[k] / 2 + 1 for k in names)
