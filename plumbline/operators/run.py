@@ -28,15 +28,20 @@ class Run:
 def score_documents(inputs: DataFrame, truth: DataFrame, files: DataFrame, allowances: DataFrame | None = None, tolerance: int = tables.DEFAULT_TOLERANCE, validate: bool = False) -> Run:
     """Scores inputs (source, project, language, tool, raw) against ground truth and a file listing.
 
+    Long documents come in pieces, a row each: `raw` is a piece's text and a further column `piece` its place.
+    A project's ground truth may be dealt over several rows.
     Where asked to validate, results tell schema_valid and schema_errors; both are null otherwise and for documents that are no inventory.
     """
     spark = inputs.sparkSession
     allowances = score.allowance_table(spark) if allowances is None else allowances
-    plants, accepted = inventory.plants(truth), inventory.accepted_locations(truth)
+    plants, accepted = cut(inventory.plants(truth), "plants"), cut(inventory.accepted_locations(truth), "accepted")
     # Files that plants name exist by definition, also where a listing lacks them.
     listing = files.select("project", "path").unionByName(accepted.select("project", F.col("file").alias("path"))).distinct()
-    parsed = cut(shred.parse(inputs), "parsed")
-    nodes = shred.components(parsed)
+    if "piece" in inputs.columns:
+        parsed, nodes = shred.shred_pieces(inputs)
+    else:
+        parsed = cut(shred.parse(inputs), "parsed")
+        nodes = shred.components(parsed)
     found = cut(shred.assets(nodes), "assets")
     assets = found.drop("node")
     heads = parsed.select("source", "project", "language", "tool", "parse_error")

@@ -9,8 +9,8 @@ components it has. JSON of more than 1,000 levels is invalid to Spark's parser.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import tables
 from plumbline.functions.names import strip
+from plumbline.operators.split import Split, finite
+from plumbline.sources.stored import cut
 
 UNWRAPS = 8
 
@@ -65,18 +67,15 @@ def _elements(v: Column, path: str) -> Column:
 READ = ("type", "name", "version", "cryptoProperties", "evidence", "properties")
 #: Components that the walker hands over at a time.
 WALK_ROWS = 2000
-
-
-def _finite(text: str) -> float:
-    x = float(text)
-    return x if math.isfinite(x) else 0.5  # beyond the range of a double; no fraction is read anywhere
+#: Or so many characters of them.
+WALK_BYTES = 4 << 20
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """source, index, node of the components of documents, the last sibling first, nodes before their children."""
     for batch in batches:
         for source, raw in zip(batch.column(0), batch.column(1), strict=True):
-            stack, index, nodes = list(json.loads(raw.as_py(), parse_float=_finite)["components"]), 0, []
+            stack, index, nodes = list(json.loads(raw.as_py(), parse_float=finite)["components"]), 0, []
             while stack:
                 node = stack.pop()
                 if not isinstance(node, dict):
@@ -101,6 +100,77 @@ def components(parsed: DataFrame) -> DataFrame:
     return flat.unionByName(deep.select("source", "index", F.parse_json("node").alias("node")))
 
 
+#: What comes out of a document in pieces: of a list's element a node a row, `through` being the nodes up to its end, or a text that must be JSON
+#: (index null); of the document its shell (list null) and the nodes of each of its lists.
+SPLIT = "source string, list int, through long, index int, text string, totals array<long>"
+_SPLIT = pa.schema([("source", pa.string()), ("list", pa.int32()), ("through", pa.int64()), ("index", pa.int32()), ("text", pa.string()), ("totals", pa.list_(pa.int64()))])
+
+
+def _below(top: dict) -> Iterator[str]:
+    """The nodes of a component, as `_walk` gives them."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dict):
+            yield json.dumps({k: node[k] for k in READ if k in node})
+            if isinstance(node.get("components"), list):
+                stack.extend(node["components"])
+
+
+def _split_rows(source: str, pieces: Iterator[str]) -> Iterator[tuple]:
+    doc, totals = Split(pieces), []
+    try:
+        for number, value, text in doc.elements():
+            totals += [0] * (number + 1 - len(totals))
+            nested = isinstance(value, dict) and isinstance(value.get("components"), list)
+            nodes = list(_below(value)) if nested else [text] if isinstance(value, dict) else []
+            totals[number] += len(nodes)
+            for i, node in enumerate(nodes):
+                yield source, number, totals[number], i, node, None
+            if len(nodes) != 1 or nested:
+                yield source, number, None, None, text, None
+    except (ValueError, RecursionError):
+        yield source, None, None, None, None, None
+        return
+    yield source, None, None, None, doc.shell, totals + [0] * (doc.lists - len(totals))
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Splits documents whose pieces (source, text) come in order."""
+    each = ((s, t or "") for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    rows, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SPLIT, strict=True)], schema=_SPLIT)
+    for source, pieces in groupby(each, lambda x: x[0]):
+        for row in _split_rows(source, (t for _, t in pieces)):
+            rows.append(row)
+            size += len(row[4] or "")
+            if len(rows) == WALK_ROWS or size > WALK_BYTES:
+                yield batch()
+                rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def shred_pieces(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed, components) as `parse` and `components` give them, of documents in pieces: a row a piece, `piece` its place, `raw` its text.
+
+    No task holds a document, so its length has no limit; the bom that is returned lacks the components.
+    """
+    spark = inputs.sparkSession
+    dealt = inputs.select("source", F.col("raw").cast("string").alias("text"), "piece").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source", "piece")
+    found = dealt.select("source", "text").mapInArrow(_split, SPLIT)
+    found = found.select("source", "list", "through", "index", F.when(F.col("list").isNotNull(), F.try_parse_json("text")).alias("node"), F.when(F.col("list").isNull(), F.col("text")).alias("shell"), "totals")
+    found = cut(found, "split")
+    broken = found.filter("list is not null and node is null").select("source").distinct().withColumn("_broken", F.lit(True))
+    shells = found.filter("list is null").select("source", "shell", "totals").join(broken, "source", "left").select("source", F.when(F.col("_broken").isNull(), F.col("shell")).alias("raw"), "totals")
+    heads = inputs.drop("raw", "piece").distinct()
+    parsed = cut(parse(heads.join(shells, "source")), "parsed")
+    chosen = F.try_variant_get("bom", "$.components[0]", "int")
+    lists = parsed.select("source", chosen.alias("list"), F.get("totals", chosen).alias("total")).filter("list is not null")
+    nodes = found.filter("index is not null").join(lists, ["source", "list"])
+    return parsed.drop("totals"), nodes.select("source", (F.col("total") - F.col("through") + F.col("index")).cast("int").alias("index"), "node")
+
+
 def coerce_line(v: Column) -> Column:
     """A positive whole number, or a string of one; booleans and fractions are no lines."""
     text = strip(F.try_variant_get(v, "$", "string"))
