@@ -98,18 +98,20 @@ def unpermute(j: int, n: int, keys: list[int]) -> int:
             return j
 
 
-def _permute_array(j: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+def _permute_array(j: np.ndarray, n: int, keys: list[int], back: bool = False) -> np.ndarray:
     """`permute` over an array."""
     half = _bits(n)
     mask = (1 << half) - 1
 
     def rounds(v):
         left, right = v >> half, v & mask
-        for k in keys:
+        left, right = (right, left) if back else (left, right)
+        for k in reversed(keys) if back else keys:
             x = (right * 0x9E3779B1 + k) & 0x7FFFFFFF
             x ^= x >> 15
             x = (x * 0x2C1B3C6D) & 0x7FFFFFFF
             left, right = right, left ^ ((x ^ (x >> 13)) & mask)
+        left, right = (right, left) if back else (left, right)
         return left << half | right
 
     out = rounds(j.astype(np.int64))
@@ -118,6 +120,11 @@ def _permute_array(j: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     return out
 
 
+def _unpermute_array(j: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+    """`unpermute` over an array."""
+    return _permute_array(j, n, keys, back=True)
+
+
 def slots_for(words: int, size: int, n: int, last: int, block: int, seed: int, source: int) -> tuple[int, int]:
     """(slots, words of the last slot) that take exactly `words` words of a source.
 
@@ -246,23 +253,79 @@ def mixture(docs: DataFrame, source: str = "source", block: int = BLOCK, weights
     return joined.join(table, "skey").select("doc_id", "skey", "size", "source_size", "target", "taken")
 
 
-def taken_documents(docs: DataFrame, source: str = "source", weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """`docs` mixed in whole documents to the same targets: whole epochs of a source, then a prefix of its stream.
+def _last_slots(sources: list[dict], seed: int):
+    """block and slot of documents: the block that holds a document's middle word, and that block's slot in the source's last epoch."""
+    import pyarrow as pa
+
+    by_key = {s["skey"]: s for s in sources}
+
+    def place(batches):
+        for batch in batches:
+            keys = np.array(batch.column("skey").to_pylist(), object)
+            block = (batch.column("start").to_numpy() + batch.column("size").to_numpy() // 2) // sources[0]["block"]
+            slot = np.zeros(len(block), np.int64)
+            for k in set(keys):
+                s, at = by_key[k], keys == k
+                slot[at] = _unpermute_array(block[at], s["blocks"], round_keys(seed, s["source_no"], s["whole"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(slot)], names=[*batch.schema.names, "block", "slot"])
+
+    return place
+
+
+def _words_before(places: DataFrame, row: str) -> DataFrame:
+    """Adds `before`: the words of a source's documents that come earlier by (slot, start), summed over two levels of ranges of slots."""
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    fine = F.floor(F.col("slot") * (FANOUT * FANOUT) / F.col("blocks"))
+    ranged = places.withColumn("b1", F.floor(fine / FANOUT).cast("int")).withColumn("b2", (fine % FANOUT).cast("int"))
+    inner = ranged.groupBy("skey", "b1", "b2").agg(F.sum("size").alias("s"))
+    outer = inner.groupBy("skey", "b1").agg(F.sum("s").alias("s")).select("skey", "b1", F.coalesce(F.sum("s").over(before(["skey"], ["b1"])), F.lit(0)).alias("o1"))
+    base = inner.select("skey", "b1", "b2", F.coalesce(F.sum("s").over(before(["skey", "b1"], ["b2"])), F.lit(0)).alias("o2")).join(outer, ["skey", "b1"])
+    own = ranged.withColumn("o3", F.coalesce(F.sum("size").over(before(["skey", "b1", "b2"], ["slot", "start", row])), F.lit(0)))
+    return own.join(base, ["skey", "b1", "b2"]).withColumn("before", F.col("o1") + F.col("o2") + F.col("o3")).drop("b1", "b2", "o1", "o2", "o3")
 
-    The prefix has the documents whose middle word lies before its end, so a
-    source's words miss its target by half a document at most.
+
+def document_slots(rows: DataFrame, row: str, source: str = "source", block: int = BLOCK, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, shard_slots: int | None = None) -> tuple[DataFrame, dict]:
+    """(shard, slot and the key `row` of every copy that the mix takes, its plan): whole documents by the operator's slots.
+
+    A document goes with the block that holds its middle word, once for each slot
+    of that block. Of the last epoch, documents are taken in the order of their
+    slots until the words meet the target, which also ends the source's slots.
     """
-    rows, row = common.keyed(docs)
-    n, copy = common.free_names(rows, 2)
+    spark = rows.sparkSession
     streams = common.materialize(packed(rows, source, row), "streams")
     sizes = {r["skey"]: r["size"] for r in streams.groupBy("skey").agg(F.sum("size").alias("size")).collect()}
     keys = sorted(sizes)
     goal = targets([sizes[k] for k in keys], [weights[i % len(weights)] for i in range(len(keys))], epochs)
-    words = [(k, *divmod(min(round(t), epochs * sizes[k]), max(sizes[k], 1))) for k, t in zip(keys, goal, strict=True)]
-    table = docs.sparkSession.createDataFrame(words, "skey string, whole long, rest long")
-    copies = F.col("whole") + (2 * F.col("start") + F.col("size") <= 2 * F.col("rest")).cast("long")
-    chosen = streams.filter("size > 0").join(table, "skey").select(row, copies.alias(n)).filter(F.col(n) > 0)
-    return rows.join(chosen, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    sources = []
+    for i, k in enumerate(keys):
+        whole, rest = divmod(min(round(goal[i]), epochs * sizes[k]), max(sizes[k], 1))
+        sources.append({"skey": k, "source_no": i, "block": block, "size": sizes[k], "target": goal[i], "blocks": -(-sizes[k] // block), "whole": whole, "rest": rest, "cut": block})
+    table = spark.createDataFrame([(s["skey"], s["blocks"], s["whole"], s["rest"]) for s in sources], "skey string, blocks long, whole long, rest long")
+    sized = streams.filter("size > 0").select("skey", "size", "start", row)
+    placed = sized.mapInArrow(_last_slots(sources, seed), f"skey string, size long, start long, `{row}` long, block long, slot long").join(F.broadcast(table), "skey")
+    taken = 2 * F.col("before") + F.col("size") <= 2 * F.col("rest")
+    ordered = common.materialize(_words_before(placed, row).select(row, "skey", "block", (F.col("whole") * F.col("blocks")).alias("full"), "slot", taken.alias("again")), "places")
+    ends = {r["skey"]: r["slot"] + 1 for r in ordered.filter("again").groupBy("skey").agg(F.max("slot").alias("slot")).collect()}
+    for s in sources:
+        s["slots"] = s["whole"] * s["blocks"] + ends.get(s["skey"], 0)
+    total = sum(s["slots"] for s in sources)
+    least = shard_slots or min(SHARD_SLOTS, -(-total // common.partitions(spark)))
+    chosen = {"sources": sources, "shards": draw_shards([s["slots"] for s in sources], max(least, -(-total // MAX_SHARDS), 1), seed)}
+    slots = mix_slots(spark, chosen, seed).select("shard", F.col("slot").alias("at"), "skey", "block")
+    copies = ordered.drop("slot").join(slots, ["skey", "block"]).filter((F.col("at") < F.col("full")) | F.col("again"))
+    return copies.select("shard", F.col("at").alias("slot"), row), chosen
+
+
+def taken_documents(docs: DataFrame, source: str = "source", weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """`docs` mixed in whole documents to the same targets by the slots of `document_slots`, dealt by output shard.
+
+    A source's words miss its target by half a document at most.
+    """
+    rows, row = common.keyed(docs)
+    shard, slot = common.free_names(rows, 2)
+    copies, _ = document_slots(rows, row, source, weights=weights, epochs=epochs)
+    mixed = rows.join(copies.select(F.col("shard").alias(shard), F.col("slot").alias(slot), row), row)
+    return mixed.repartition(common.partitions(docs.sparkSession), shard).sortWithinPartitions(shard, slot, row).select(*docs.columns)
 
 
 def op3_mixture(spark, sf_dir) -> DataFrame:

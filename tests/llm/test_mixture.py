@@ -87,3 +87,41 @@ def test_slots_and_documents_agree(spark):
     for s in mixture.mix_slots(spark, chosen).collect():
         want.update(owner[s.skey][s.block * 16 : min(s.block * 16 + 16, s.block * 16 + s.limit)])
     assert {r.doc_id: r.taken for r in mixture.mixture(df, block=16).collect()} == {r.doc_id: want[r.doc_id] for r in streams}
+
+
+def test_whole_documents_follow_the_slots(spark):
+    """Copies of documents are the slots of their blocks: epochs by Feistel permutations, shards by the multinomial draws."""
+    df = common.documents(spark, "/root/testdata/sf0.001")
+    rows, row = common.keyed(df)
+    copies, plan = mixture.document_slots(rows, row, block=16, shard_slots=200)
+    got = Counter((r[row], r.slot) for r in copies.collect())
+    streams, want = mixture.packed(rows, "source", row).collect(), Counter()
+    for s in plan["sources"]:
+        n, keys, docs = s["blocks"], mixture.round_keys(17, s["source_no"], s["whole"]), [r for r in streams if r.skey == s["skey"] and r["size"]]
+        block = {r[row]: (r.start + r["size"] // 2) // 16 for r in docs}
+        last = {r[row]: mixture.unpermute(block[r[row]], n, keys) for r in docs}
+        for e in range(s["whole"]):
+            want.update((r[row], e * n + mixture.unpermute(block[r[row]], n, mixture.round_keys(17, s["source_no"], e))) for r in docs)
+        words = 0
+        for r in sorted(docs, key=lambda r: (last[r[row]], r.start)):
+            if 2 * words + r["size"] <= 2 * s["rest"]:
+                want[r[row], s["whole"] * n + last[r[row]]] += 1
+            words += r["size"]
+    assert got == want and max(got.values()) == 1
+    assert len(plan["shards"]) > 5 and all(0 < sum(d) <= 200 for d in plan["shards"])
+    done, of = Counter(), {}
+    for i, draws in enumerate(plan["shards"]):
+        for k, n in enumerate(draws):
+            of |= {(plan["sources"][k]["skey"], j): i for j in range(done[k], done[k] + n)}
+            done[k] += n
+    key = {r[row]: r.skey for r in streams}
+    assert all(of[key[r[row]], r.slot] == r.shard for r in copies.collect())
+    taken = Counter(r.doc_id for r in mixture.taken_documents(df).collect())
+    whole, _ = mixture.document_slots(rows, row)
+    assert taken == Counter(r.doc_id for r in rows.join(whole, row).collect())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1025])
+def test_permutation_back(n):
+    keys = mixture.round_keys(3, 1, 0)
+    assert mixture._unpermute_array(mixture._permute_array(mixture.np.arange(n), n, keys), n, keys).tolist() == list(range(n))
