@@ -12,8 +12,10 @@ of 0.998; one family would give 0.21, 0.41 and 0.66.
 A pass over all nodes finds those that have any candidate; only these go on. Then
 one family after another gives the links that could still join components: in a
 bucket, a star over one node of each component, so a group of mutual copies is
-linked without all its pairs. At last all pairs of candidates that still lie in
-different components are verified, so no candidate's link is lost.
+linked without all its pairs. At last, family by family, the nodes that still
+have a candidate in another component are put into their buckets with their
+texts, and the tasks verify all such pairs there: a row a node and bucket, never
+a row a pair, so no candidate's link is lost.
 
 Defined cases: texts of fewer than five words are one shingle; null text and
 text without words are equal; of each component the row with the smallest
@@ -132,10 +134,60 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+OPEN = "sub long, fp long, exact boolean, node long, label long"
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets that have a candidate of another label there."""
     for sub, fp, exact, _, node, label in simhash.whole_buckets(batches):
+        found = np.zeros(len(node), bool)
         for i, j in _near_pairs(sub, fp, exact, label):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
+            found[i] = found[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (sub, fp, exact, node, label)], names=["sub", "fp", "exact", "node", "label"])
+
+
+def _bucket_links(sub, fp, exact, node, label, text) -> tuple[list[int], list[int]]:
+    """Similar pairs of nodes of different labels: so many that all of them that are candidates get joined."""
+    numbers: dict[bytes, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def ids(i: int) -> np.ndarray:
+        n = int(node[i])
+        if n not in sets:
+            sets[n] = np.fromiter((numbers.setdefault(s, len(numbers)) for s in shingles(text[i])), np.int64)
+        return sets[n]
+
+    us, vs = [], []
+    for left, right in _near_pairs(sub, fp, exact, label):
+        order = np.argsort(left, kind="stable")
+        mark, last = np.zeros(0, bool), -1
+        for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x == y:
+                continue
+            a, b = ids(i), ids(j)
+            if i != last or len(mark) < len(numbers):
+                mark, last = np.zeros(len(numbers), bool), i
+                mark[a] = True
+            both = int(mark[b].sum())
+            if OF * both >= SHARED * (len(a) + len(b) - both):
+                parent[max(x, y)] = min(x, y)
+                us.append(int(node[i]))
+                vs.append(int(node[j]))
+    return us, vs
+
+
+def _open_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns in simhash.whole_buckets(batches):
+        u, v = _bucket_links(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +213,7 @@ def groups(rows: DataFrame) -> DataFrame:
         nodes = marks.groupBy(F.col("node").alias("hash")).agg(F.min("_row").alias("node"), F.first("fps").alias("fps"))
         nodes = common.materialize(nodes, "nodes")
         every = each(nodes)
-        parts = simhash.parts_of(every, LIMIT)
+        parts = simhash.parts_of(every, LIMIT, FAMILIES)
         hot = simhash.hot_buckets(every, parts)
         some = common.materialize(simhash.dealt(every, parts, hot).mapInArrow(_near_nodes, "node long").distinct(), "near")
         common.release(spark)
@@ -169,21 +221,26 @@ def groups(rows: DataFrame) -> DataFrame:
         written = common.materialize(some.select("node").join(texts, F.col("node") == F.col("_row")).select("node", "text"), "texts")
         common.release(spark)
         labels, tried, found = some.select("node", F.col("node").alias("label")), None, None
-        for family in range(FAMILIES + 1):
-            if family < FAMILIES:
-                here = each(some.join(labels, "node"), "label").filter(F.col("family") == family)
-                pairs = simhash.dealt(here, parts, hot).mapInArrow(_stars, "u long, v long")
-            else:  # all that is left
-                pairs = simhash.dealt(each(some.join(labels, "node"), "label"), parts, hot).mapInArrow(_open_pairs, "u long, v long")
-            pairs = pairs.distinct()
+        renamed = lambda links: some.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+        here = lambda family: simhash.dealt(each(some.join(labels, "node"), "label").filter(F.col("family") == family), parts, hot)
+        for family in range(FAMILIES):
+            pairs = here(family).mapInArrow(_stars, "u long, v long").distinct()
             pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
             if pairs.isEmpty():  # nothing that this family could still join
                 continue
             right = _verified(pairs, written)
             tried, found = (pairs, right) if tried is None else (tried.unionByName(pairs), found.unionByName(right))
-            if right.isEmpty():
+            if not right.isEmpty():
+                labels = renamed(found)
+        for family in range(FAMILIES):  # all that is left
+            rows_left = common.materialize(here(family).mapInArrow(_open_rows, OPEN), "open")
+            if rows_left.isEmpty():
                 continue
-            labels = some.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+            told = rows_left.join(written, "node").select("sub", "fp", "exact", "node", "label", "text").repartition(common.partitions(spark), "sub").sortWithinPartitions("sub")
+            right = common.materialize(told.mapInArrow(_open_links, "u long, v long"), "verified")
+            if not right.isEmpty():
+                found = right if found is None else found.unionByName(right)
+                labels = renamed(found)
         named = nodes.select("hash", "node").join(labels, "node", "left").select("hash", F.coalesce("label", "node").alias("root"))
         return keep(common.materialize(marks.select("_row", F.col("node").alias("hash")).join(named, "hash").select("_row", "root"), "roots"))
 

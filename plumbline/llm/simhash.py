@@ -6,8 +6,7 @@ correlated ones stand together and cut into parts; if two fingerprints differ
 in at most T bits, then for any thresholds t_i with sum T - parts + 1 they
 differ in at most t_i bits within some part i. The parts and thresholds (-1:
 unused) are allocated by dynamic programming on the estimated number of probes
-and candidates, from the exact distribution of values of each group of eight
-bits. Every fingerprint is put into a bucket per part, probes the buckets
+and candidates, from the exact distribution of values of every UNIT bits. Every fingerprint is put into a bucket per part, probes the buckets
 within t_i, and what meets in a bucket is verified on all 64 bits.
 
 A task gives a spanning forest of the links it verifies, never all pairs. A
@@ -36,8 +35,9 @@ from plumbline.llm.components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
 MAX_DISTANCE = 4
-#: Ways to cut the eight groups of eight bits into parts.
-LAYOUTS = ((4, 4), (3, 3, 2), (2, 2, 2, 2), (2, 2, 2, 1, 1))
+#: Ways to cut the bits into parts, in units of UNIT bits.
+UNIT = 4
+LAYOUTS = ((8, 8), (6, 6, 4), (4, 4, 4, 4), (4, 4, 4, 2, 2), (4, 3, 3, 3, 3))
 #: Cost of a compared candidate, a shuffled probe being 1. Measured: 18 to 32 ns in `bucket_links`, 1.8 to 2.8 us in Spark.
 CANDIDATE_COST = 0.01
 HOT_ROWS = 4096
@@ -103,17 +103,17 @@ def order_bits(pairs: np.ndarray, n: int) -> list[int]:
 
 
 def _group_values(fp: np.ndarray, order: list[int]) -> np.ndarray:
-    """The value of each group of eight bits, one column a group."""
-    return np.packbits(_bits(fp)[:, order], axis=1, bitorder="little")
+    """The value of each UNIT bits of the order, one column a unit."""
+    return np.packbits(_bits(fp)[:, order].reshape(len(fp), -1, UNIT), axis=2, bitorder="little")[:, :, 0]
 
 
 def _histogram(order: list[int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((8, 256), np.int64)
+        total = np.zeros((BITS // UNIT, 1 << UNIT), np.int64)
         for batch in batches:
             values = _group_values(batch.column(0).to_numpy(), order)
-            for g in range(8):
-                total[g] += np.bincount(values[:, g], minlength=256)
+            for g in range(len(total)):
+                total[g] += np.bincount(values[:, g], minlength=1 << UNIT)
         g, v = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), pa.array(v.ravel()), pa.array(total.ravel())], names=["i", "j", "n"])
 
@@ -121,29 +121,36 @@ def _histogram(order: list[int]):
 
 
 def distances(histogram: np.ndarray) -> np.ndarray:
-    """Per group, the probability that two fingerprints differ in 0..8 of its bits."""
-    pop = np.array([bin(x).count("1") for x in range(256)])
-    xor = np.bitwise_xor.outer(np.arange(256), np.arange(256))
-    out = np.zeros((len(histogram), 9))
+    """Per group of bits, the probability that two fingerprints differ in 0, 1 and so on of them."""
+    values = histogram.shape[1]
+    pop = np.array([bin(x).count("1") for x in range(values)])
+    xor = np.bitwise_xor.outer(np.arange(values), np.arange(values))
+    out = np.zeros((len(histogram), values.bit_length()))
     for g, h in enumerate(histogram / np.maximum(histogram.sum(1, keepdims=True), 1)):
-        out[g] = np.bincount(pop[xor].ravel(), np.outer(h, h).ravel(), minlength=9)
+        out[g] = np.bincount(pop[xor].ravel(), np.outer(h, h).ravel(), minlength=out.shape[1])
     return out
 
 
-def allocate(chance: np.ndarray, n: int, limit: int = MAX_DISTANCE) -> tuple[tuple[int, ...], tuple[int, ...], float]:
-    """(groups a part, thresholds, cost): the cheapest layout and thresholds by dynamic programming."""
-    best = None
-    for layout in LAYOUTS:
+def allocate(chance: np.ndarray, n: int, limit: int = MAX_DISTANCE, families: int = 1) -> tuple[tuple[int, ...], tuple[int, ...], float]:
+    """(groups a part, thresholds, cost): the cheapest layout and thresholds by dynamic programming.
+
+    The n fingerprints are of so many families, and only those of one family meet.
+    """
+    best, bits = None, BITS // len(chance)
+    for units in LAYOUTS:
+        if any(u * UNIT % bits for u in units):
+            continue
+        layout = tuple(u * UNIT // bits for u in units)
         costs, at = [], 0
         for groups in layout:
             spread = np.ones(1)
             for g in range(at, at + groups):
                 spread = np.convolve(spread, chance[g])
             at += groups
-            width, cost = 8 * groups, {-1: 0.0}
+            width, cost = bits * groups, {-1: 0.0}
             for t in range(limit + 1):
                 probes = 1 + sum(comb(width, k) for k in range(1, t + 1)) / 2
-                cost[t] = n * probes + CANDIDATE_COST * n * n / 2 * spread[: t + 1].sum()
+                cost[t] = n * probes + CANDIDATE_COST * n * n / 2 / families * spread[: t + 1].sum()
             costs.append(cost)
         want = limit - len(layout) + 1
         table = {0: (0.0, ())}  # sum of the thresholds so far -> cheapest
@@ -176,14 +183,14 @@ def _prober(order: list[int], layout: tuple[int, ...], thresholds: tuple[int, ..
                 for part, (groups, t) in enumerate(zip(layout, thresholds, strict=True)):
                     value = np.zeros(len(fp), np.int64)
                     for g in range(groups):
-                        value |= values[:, at + g].astype(np.int64) << (8 * g)
+                        value |= values[:, at + g].astype(np.int64) << (UNIT * g)
                     at += groups
                     if t < 0:
                         continue
                     name, every = family | np.int64(part) << 40, np.arange(len(fp))
                     out = [(name | value, every, np.ones(len(fp), bool))]
                     for k in range(1, t + 1):
-                        for bits in combinations(range(8 * groups), k):
+                        for bits in combinations(range(UNIT * groups), k):
                             other = value ^ sum(1 << b for b in bits)
                             up = np.flatnonzero(other > value)
                             out.append(((name | other)[up], up, np.zeros(len(up), bool)))
@@ -276,13 +283,13 @@ def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def parts_of(fps: DataFrame, limit: int) -> tuple[list[int], tuple[int, ...], tuple[int, ...]]:
+def parts_of(fps: DataFrame, limit: int, families: int = 1) -> tuple[list[int], tuple[int, ...], tuple[int, ...]]:
     """(order of the bits, groups a part, thresholds) for the fingerprints `fp`."""
     pairs = _table(fps.select("fp").mapInArrow(_pair_counts, "i long, j long, n double"), (BITS, BITS))
     n = fps.count()
     order = order_bits(pairs, n)
-    chance = distances(_table(fps.select("fp").mapInArrow(_histogram(order), "i long, j long, n long"), (8, 256)))
-    return order, *allocate(chance, n, limit)[:2]
+    chance = distances(_table(fps.select("fp").mapInArrow(_histogram(order), "i long, j long, n long"), (BITS // UNIT, 1 << UNIT)))
+    return order, *allocate(chance, n, limit, families)[:2]
 
 
 def hot_buckets(fps: DataFrame, parts, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -136,3 +136,27 @@ def test_buckets_cut_into_blocks(monkeypatch):
         u, v = shingles._star_pairs(sub, fp, exact, node, label)
         at = {n: c for n, c in zip(node.tolist(), label.tolist())}
         assert all(at[a] != at[b] for a, b in zip(u.tolist(), v.tolist())) and 0 < len(u) < len(want)
+
+
+def test_open_buckets_give_rows_of_nodes_not_of_pairs():
+    """A bucket of mutual candidates of different labels: a row a node, and links that join just what is similar."""
+    import pyarrow as pa
+
+    rng, texts = random.Random(5), []
+    for _ in range(4):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for _ in range(30):
+            texts.append(" ".join(words).encode())
+            words[rng.randrange(60)] = f"y{rng.randrange(5000)}"
+    n = len(texts)
+    sub, fp, exact, node = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool), np.arange(n) + 7
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (sub, fp, exact, sub, node, node)], names=["sub", "fp", "exact", "family", "node", "label"])
+    assert sum(b.num_rows for b in shingles._open_rows(iter([batch]))) == n
+    u, v = shingles._bucket_links(sub, fp, exact, node, node, texts)
+    root = list(range(n))
+    for a, b in zip(u, v):
+        assert shingles.similar(texts[a - 7], texts[b - 7])
+        x, y = root[a - 7], root[b - 7]
+        root = [x if r == y else r for r in root]
+    want = brute_groups([t.decode() for t in texts], False)
+    assert len({*zip(root, want)}) == len(set(root)) == len(set(want)) and len(u) < n
