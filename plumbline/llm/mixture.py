@@ -312,7 +312,8 @@ def document_slots(rows: DataFrame, row: str, source: str = "source", block: int
     least = shard_slots or min(SHARD_SLOTS, -(-total // common.partitions(spark)))
     chosen = {"sources": sources, "shards": draw_shards([s["slots"] for s in sources], max(least, -(-total // MAX_SHARDS), 1), seed)}
     slots = mix_slots(spark, chosen, seed).select("shard", F.col("slot").alias("at"), "skey", "block")
-    copies = ordered.drop("slot").join(slots, ["skey", "block"]).filter((F.col("at") < F.col("full")) | F.col("again"))
+    # Spark takes the slots for as small as the table they are made from, and would broadcast them.
+    copies = ordered.drop("slot").join(slots.hint("merge"), ["skey", "block"]).filter((F.col("at") < F.col("full")) | F.col("again"))
     return copies.select("shard", F.col("at").alias("slot"), row), chosen
 
 

@@ -12,9 +12,8 @@ of 0.998; one family would give 0.21, 0.41 and 0.66.
 A pass over all nodes finds those that have any candidate; only these go on. Then
 one family after another gives the links that could still join components: in a
 bucket, a star over one node of each component, so a group of mutual copies is
-linked without all its pairs. At last, family by family, the nodes that still
-have a candidate in another component are put into their buckets with their
-texts, and the tasks verify all such pairs there: a row a node and bucket, never
+linked without all its pairs. At last the nodes that still have a candidate in
+another component are put into their buckets with their texts, and the tasks verify all such pairs there: a row a node and bucket, never
 a row a pair, so no candidate's link is lost.
 
 Defined cases: texts of fewer than five words are one shingle; null text and
@@ -222,9 +221,9 @@ def groups(rows: DataFrame) -> DataFrame:
         common.release(spark)
         labels, tried, found = some.select("node", F.col("node").alias("label")), None, None
         renamed = lambda links: some.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-        here = lambda family: simhash.dealt(each(some.join(labels, "node"), "label").filter(F.col("family") == family), parts, hot)
+        here = lambda: each(some.join(labels, "node"), "label")
         for family in range(FAMILIES):
-            pairs = here(family).mapInArrow(_stars, "u long, v long").distinct()
+            pairs = simhash.dealt(here().filter(F.col("family") == family), parts, hot).mapInArrow(_stars, "u long, v long").distinct()
             pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
             if pairs.isEmpty():  # nothing that this family could still join
                 continue
@@ -232,15 +231,12 @@ def groups(rows: DataFrame) -> DataFrame:
             tried, found = (pairs, right) if tried is None else (tried.unionByName(pairs), found.unionByName(right))
             if not right.isEmpty():
                 labels = renamed(found)
-        for family in range(FAMILIES):  # all that is left
-            rows_left = common.materialize(here(family).mapInArrow(_open_rows, OPEN), "open")
-            if rows_left.isEmpty():
-                continue
+        rows_left = common.materialize(simhash.dealt(here(), parts, hot).mapInArrow(_open_rows, OPEN), "open")  # all that is left
+        if not rows_left.isEmpty():
             told = rows_left.join(written, "node").select("sub", "fp", "exact", "node", "label", "text").repartition(common.partitions(spark), "sub").sortWithinPartitions("sub")
             right = common.materialize(told.mapInArrow(_open_links, "u long, v long"), "verified")
             if not right.isEmpty():
-                found = right if found is None else found.unionByName(right)
-                labels = renamed(found)
+                labels = renamed(right if found is None else found.unionByName(right))
         named = nodes.select("hash", "node").join(labels, "node", "left").select("hash", F.coalesce("label", "node").alias("root"))
         return keep(common.materialize(marks.select("_row", F.col("node").alias("hash")).join(named, "hash").select("_row", "root"), "roots"))
 

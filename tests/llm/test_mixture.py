@@ -114,6 +114,7 @@ def test_whole_documents_follow_the_slots(spark):
         for k, n in enumerate(draws):
             of |= {(plan["sources"][k]["skey"], j): i for j in range(done[k], done[k] + n)}
             done[k] += n
+    assert "BroadcastHashJoin [skey" not in copies._jdf.queryExecution().executedPlan().toString()  # the slots grow with the input
     key = {r[row]: r.skey for r in streams}
     assert all(of[key[r[row]], r.slot] == r.shard for r in copies.collect())
     taken = Counter(r.doc_id for r in mixture.taken_documents(df).collect())
