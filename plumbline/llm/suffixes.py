@@ -17,9 +17,10 @@ the input and never cross documents.
    anchors. A block's enhanced suffix array (suffixes sorted by prefix doubling,
    common-prefix lengths) is scanned with a stack that holds the open intervals
    of the common-prefix tree; an interval whose suffixes have different left
-   neighbours, or stand at a segment's start, is a maximal repeat and is put out
-   with all its occurrences. All but the first are repeats. Occurrences in
-   copies are reached through the copies' sources (`occurrences`).
+   neighbours, or stand at a segment's start, is a maximal repeat. The tree is
+   put out, a row an interval and a row a place; a place goes up the tree to the
+   longest repeat of which it is not the first occurrence. `occurrences` lists
+   them all, those in copies through the copies' sources.
 4. Copies and repeats are joined to their documents and cut out.
 
 No key is hot: a passage that many documents share has one segment a chunk
@@ -355,30 +356,65 @@ class SuffixArray:
                         stack.append([length, low, before, diverse])
 
 
-REPEATS = "grp long, size long, oid long, tie long, start long, first boolean"
+#: An interval: grp, size, its places low to high, exclusive. A place: the deepest interval that holds it as grp, its number as low,
+#: its document and start, and the finish of its longest bytes that also start earlier, null if there are none.
+REPEATS = "grp long, size long, low long, high long, oid long, tie long, start long, finish long"
+_REPEATS = pa.schema([(c.split()[0], pa.int64()) for c in REPEATS.split(", ")])
+
+
+def nesting(low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outer ones before inner ones, the interval around each, the deepest one at each of n places) of nested intervals; -1: none."""
+    order = np.lexsort((-high, low))
+    up = np.full(len(low), -1)
+    ends, stack, cuts, deepest = high.tolist(), [], [0], [-1]
+    for i, begin in zip([*order.tolist(), -1], [*low[order].tolist(), n], strict=True):
+        while stack and ends[stack[-1]] <= begin:
+            cuts.append(ends[stack.pop()])
+            deepest.append(stack[-1] if stack else -1)
+        if i >= 0:
+            up[i] = stack[-1] if stack else -1
+            stack.append(i)
+            cuts.append(begin)
+            deepest.append(i)
+    return order, up, np.repeat(np.array(deepest, np.int64), np.diff([*cuts, n]))
 
 
 def _block_repeats(table: pa.Table, base: int) -> tuple[pa.RecordBatch, int]:
-    """Maximal repeats of a block of segments, a row an occurrence, numbered from `base`; the first in document order is marked."""
+    """The maximal repeats of a block of segments as a tree, numbered from `base`: a row an interval and a row a place, never a row a pair of them."""
     pieces = table.column("data").to_pylist()
     tree = SuffixArray(pieces, LENGTH)
     oid, tie, start = (table.column(c).to_numpy() for c in ("oid", "tie", "start"))
     owner = tree.piece[tree.suffix]
     o, t, s = oid[owner], tie[owner], start[owner] + tree.suffix - tree.begin[owner]
-    rank = np.empty(len(o), np.int64)
-    rank[np.lexsort((s, t, o))] = np.arange(len(o))
+    n = len(o)
+    # Pieces of a document may overlap; one occurrence can stand in the array twice and has one rank.
+    by = np.lexsort((s, t, o))
+    new = np.ones(n, bool)
+    new[1:] = (o[by][1:] != o[by][:-1]) | (t[by][1:] != t[by][:-1]) | (s[by][1:] != s[by][:-1])
+    rank = np.empty(n, np.int64)
+    rank[by] = np.cumsum(new)
     groups = list(tree.maximal_repeats(LENGTH))
     size, low, high = (np.array(c, np.int64) for c in (zip(*groups, strict=True) if groups else [[]] * 3))
-    at = units.ranges(low, high - low)
-    grp = np.repeat(np.arange(len(low)), high - low)
-    first = np.zeros(len(at), bool)
-    if len(low):
-        least = np.minimum.reduceat(rank[at], np.cumsum(high - low) - (high - low))
-        lead = np.flatnonzero(rank[at] == least[grp])
-        # Pieces of a document may overlap; one occurrence can stand in the array twice.
-        head = lead[np.searchsorted(grp[lead], grp)]
-        first = (o[at] == o[at][head]) & (t[at] == t[at][head]) & (s[at] == s[at][head])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (base + grp, size[grp], o[at], t[at], s[at], first)], names=["grp", "size", "oid", "tie", "start", "first"]), len(low)
+    order, up, deepest = nesting(low, high, n)
+    at = np.flatnonzero(deepest >= 0)
+    least = np.full(len(low), n + 1)
+    np.minimum.at(least, deepest[at], rank[at])
+    for i in order[::-1].tolist():
+        if up[i] >= 0:
+            least[up[i]] = min(least[up[i]], least[i])
+    # A place goes up from its deepest interval while it is the first there: once for each interval that it is first in.
+    finish = np.zeros(n, np.int64)
+    live, here = at, deepest[at]
+    while len(live):
+        later = least[here] < rank[live]
+        finish[live[later]] = s[live[later]] + size[here[later]]
+        live, here = live[~later], up[here[~later]]
+        live, here = live[here >= 0], here[here >= 0]
+    none = lambda k: pa.nulls(k, pa.int64())
+    k, m = len(low), len(at)
+    intervals = [pa.array(base + np.arange(k)), pa.array(size), pa.array(base + low), pa.array(base + high), *[none(k)] * 4]
+    places = [pa.array(base + deepest[at]), none(m), pa.array(base + at), none(m), pa.array(o[at]), pa.array(t[at]), pa.array(s[at]), pa.array(finish[at], mask=finish[at] == 0)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(intervals, places, strict=True)], schema=_REPEATS), n
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +466,7 @@ def written_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeats(texts: DataFrame, contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(copies: oid, tie, start, finish and the place s_oid, s_tie, s_start that they repeat; the maximal repeats of what is left, a row an occurrence)."""
+    """(copies: oid, tie, start, finish and the place s_oid, s_tie, s_start that they repeat; the maximal repeats of what is left: their tree, see REPEATS)."""
     spark = texts.sparkSession
     n = common.partitions(spark)
     hot = spark.sparkContext.broadcast(hot_anchors(texts, contexts))
@@ -447,12 +483,14 @@ def repeats(texts: DataFrame, contexts: int = HOT_CONTEXTS) -> tuple[DataFrame,
 
 
 def occurrences(copies: DataFrame, groups: DataFrame) -> DataFrame:
-    """grp, size, oid, tie, start of every occurrence of the maximal repeats, those in copies included.
+    """grp, size, oid, tie, start of every occurrence of the maximal repeats, those in copies included: the tree's places, listed by interval.
 
     An occurrence is carried along the copies that hold it whole, source by
     source; a source is always earlier than its copy, so this ends.
     """
-    here = groups.select("grp", "size", "oid", "tie", "start").distinct()
+    places = groups.filter("size IS NULL").select(F.col("low").alias("at"), "oid", "tie", "start")
+    listed = groups.filter("size IS NOT NULL").select("grp", "size", F.explode(F.sequence("low", F.col("high") - 1)).alias("at"))
+    here = listed.join(places, "at").select("grp", "size", "oid", "tie", "start").distinct()
     out = here = common.materialize(here, "occurrences")
     links = copies.select(F.col("oid").alias("to_oid"), F.col("tie").alias("to_tie"), F.col("start").alias("to_start"), (F.col("finish") - F.col("start")).alias("width"), F.col("s_oid").alias("oid"), F.col("s_tie").alias("tie"), "s_start")
     inside = (F.col("start") >= F.col("s_start")) & (F.col("start") + F.col("size") <= F.col("s_start") + F.col("width"))
@@ -468,7 +506,7 @@ def dedup(docs: DataFrame, contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of `docs`."""
     texts = written_texts(docs)
     copies, groups = repeats(texts, contexts)
-    later = groups.filter("not first").select("oid", "tie", "start", (F.col("start") + F.col("size")).alias("finish"))
+    later = groups.filter("finish IS NOT NULL").select("oid", "tie", "start", "finish")
     spans = copies.select("oid", "tie", "start", "finish").unionByName(later).groupBy("oid", "tie").agg(F.collect_list(F.struct("start", "finish")).alias("spans"))
     joined = texts.join(spans.select(F.col("oid").alias("s_oid"), F.col("tie").alias("s_tie"), "spans"), (F.col("oid") == F.col("s_oid")) & (F.col("tie") == F.col("s_tie")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

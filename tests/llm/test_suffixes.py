@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from plumbline.llm import common, suffixes
 
 from tests.llm import fixtures
@@ -138,3 +139,27 @@ def test_suffix_array_and_maximal_repeats():
                 if (len(right) > 1 or ends) and (len(before) > 1 or unknown):
                     want.append((len(w), sorted(int(tree.begin[k]) + i for k, i in places)))
         assert got == sorted(want)
+
+
+def test_nested_repeats_give_rows_in_proportion():
+    """A place in many nested repeats has one row, with the finish of the longest that also starts earlier."""
+    rng = random.Random(21)
+    say = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    passage, counts = say(160), []
+    for n in (30, 60):
+        cut = [100 + rng.randrange(60) if i >= 60 else 100 + i for i in range(n)]
+        rng.shuffle(cut)
+        docs = [passage[:c] + say(8) for c in cut]
+        table = pa.table({"oid": range(n), "tie": [0] * n, "start": [0] * n, "data": pa.array(docs, pa.binary())}, schema=pa.schema([("oid", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("data", pa.binary())]))
+        rows, _ = suffixes._block_repeats(table, 0)
+        windows = sum(len(d) - 99 for d in docs)
+        assert n < rows.num_rows <= 2 * windows
+        intervals, places = ([r for r in rows.to_pylist() if (r["size"] is None) == k] for k in (False, True))
+        listed = sum(r["high"] - r["low"] for r in intervals)
+        counts.append((len(intervals), len(places), listed))
+        for r in places:
+            d, at = docs[r["oid"]], r["start"]
+            longest = max((k for k in range(100, len(d) - at + 1) if any(x.find(d[at : at + k]) >= 0 for x in docs[: r["oid"]])), default=None)
+            assert r["finish"] == (longest and at + longest)
+    (i, p, listed), (i2, p2, listed2) = counts
+    assert i2 + p2 <= 3 * (i + p) and listed2 > 3 * listed
