@@ -10,9 +10,12 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Words are maximal runs of anything but these six ASCII characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -120,12 +123,96 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def least_of_each(rows: DataFrame, row: str, roots: DataFrame) -> DataFrame:
-    """Of the written `rows` with the unique key `row`, the one with the smallest (doc_id, text digest, key) of each root (row, root); null ids last."""
+def least_keys(rows: DataFrame, row: str, roots: DataFrame) -> DataFrame:
+    """The unique key `row` of the one of `rows` with the smallest (doc_id, text digest, key) of each root (row, root); null ids last."""
     key = F.col(row)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), key.alias("row"))
     least = rows.select(key.alias("row"), order.alias("rank")).join(roots, "row").groupBy("root").agg(F.min("rank").alias("least"))
-    return rows.join(least.select(F.col("least.row").alias(row)), row, "left_semi").drop(row)
+    return least.select(F.col("least.row").alias(row))
+
+
+def least_of_each(rows: DataFrame, row: str, roots: DataFrame) -> DataFrame:
+    """Those of the written `rows` that `least_keys` names."""
+    return rows.join(least_keys(rows, row, roots), row, "left_semi").drop(row)
+
+
+#: A chunk's rows, and bytes of rows; its key is the partition and its number there, a row's key ends in its place in the chunk.
+CHUNK_BITS, CHUNK_BYTES = 20, 1 << 21
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    chunk, held, size, n = TaskContext.get().partitionId() << CHUNK_BITS, [], 0, 0
+
+    def blob() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "blob"])
+
+    for batch in batches:
+        # Rows of about a chunk's bytes at a time; a longer row is a chunk of its own.
+        for lo in range(0, batch.num_rows, step := max(1, batch.num_rows * CHUNK_BYTES // 8 // max(batch.nbytes, 1))):
+            piece = batch.slice(lo, step)
+            if held and (size + piece.nbytes > CHUNK_BYTES or n + piece.num_rows >= 1 << CHUNK_BITS):
+                yield blob()
+                chunk, held, size, n = chunk + 1, [], 0, 0
+            held.append(piece)
+            size, n = size + piece.nbytes, n + piece.num_rows
+    if held:
+        yield blob()
+
+
+def _rows_of(chunk: int, blob: bytes, names: list[str]) -> pa.Table:
+    table = pa.ipc.open_stream(blob).read_all()
+    return table.select(names).append_column("", pa.array(range(chunk << CHUNK_BITS, (chunk << CHUNK_BITS) + len(table)), pa.int64()))
+
+
+class Chunks:
+    """The rows of `docs`, written once in compressed chunks, with a unique key each (column `row`).
+
+    The chunks lie in buckets: to take rows by their keys moves the keys to the
+    chunks, never a text.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.schema = StructType([StructField(f.name, f.dataType) for f in docs.schema])
+        (self.row,) = free_names(docs, 1)
+        self.written = materialize_bucketed(docs.mapInArrow(_pack, "chunk long, blob binary"), "rows", "chunk")
+
+    def rows(self, *names: str) -> DataFrame:
+        """The columns `names` and the key of all rows."""
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, blob in zip(*batch.columns, strict=True):
+                    yield from _rows_of(chunk.as_py(), blob.as_py(), names).rename_columns([*names, key]).to_batches()
+
+        names, key = [n for n in self.schema.names if n in names], self.row
+        return self.written.select("chunk", "blob").mapInArrow(unpack, StructType([*(self.schema[n] for n in names), StructField(key, LongType())]))
+
+    def take(self, keys: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """The columns `names` (all of them) of the row of each of `keys` (its first column), and the other columns of `keys`, of type long."""
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    chunk, blob, wanted = (c[i] for c in batch.columns)
+                    wanted = wanted.values.flatten()
+                    at, base = wanted[0].to_numpy(), chunk.as_py() << CHUNK_BITS
+                    table = pa.ipc.open_stream(blob.as_py()).read_all().select(names)
+                    # A few rows at a time: a row may be taken more than once.
+                    step = max(1, len(table) * CHUNK_BYTES // max(table.nbytes, 1))
+                    for lo in range(0, len(at), step):
+                        part = table.take(pa.array(at[lo : lo + step] - base)).combine_chunks()
+                        for j, c in enumerate(more):
+                            part = part.append_column(c, wanted[j + 1].slice(lo, step))
+                        yield from part.to_batches()
+
+        names, (key, *more) = names or self.schema.names, keys.columns
+        wanted = keys.groupBy(F.shiftright(key, CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct(*keys.columns)).alias("wanted"))
+        return self.written.join(wanted, "chunk").select("chunk", "blob", "wanted").mapInArrow(pick, StructType([*(self.schema[n] for n in names), *(StructField(c, LongType()) for c in more)]))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -322,11 +322,12 @@ def taken_documents(docs: DataFrame, source: str = "source", weights=WEIGHTS, ep
 
     A source's words miss its target by half a document at most.
     """
-    rows, row = common.keyed(docs)
-    shard, slot = common.free_names(rows, 2)
+    chunks = common.Chunks(docs)
+    rows, row = chunks.rows("doc_id", source, "text"), chunks.row
+    shard, slot, again = common.free_names(docs, 4)[1:]
     copies, _ = document_slots(rows, row, source, weights=weights, epochs=epochs)
-    mixed = rows.join(copies.select(F.col("shard").alias(shard), F.col("slot").alias(slot), row), row)
-    return mixed.repartition(common.partitions(docs.sparkSession), shard).sortWithinPartitions(shard, slot, row).select(*docs.columns)
+    mixed = chunks.take(copies.select(row, F.col("shard").alias(shard), F.col("slot").alias(slot), F.col(row).alias(again)))
+    return mixed.repartition(common.partitions(docs.sparkSession), shard).sortWithinPartitions(shard, slot, again).select(*docs.columns)
 
 
 def op3_mixture(spark, sf_dir) -> DataFrame:

@@ -39,6 +39,8 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 TOKEN_BITS = 3.5
 MAX_OWNERS = 2
 MAX_REPOS = 10
+#: So many live tokens at most are broadcast, 32 bytes each.
+BROADCAST_TOKENS = 1 << 16
 
 
 def _bits(value: str) -> float:
@@ -130,13 +132,16 @@ def span_string(spans) -> F.Column:
 def mask_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """`docs` with every base and live span replaced by [SECRET]; n_chars, if there, follows the text.
 
-    The hashes of a document's live tokens come by a join on doc_id; only documents with such tokens have any.
+    The hashes of a document's live tokens come by a join on doc_id; only documents with such tokens have any. Up to BROADCAST_TOKENS
+    of them go to the texts, of more the texts are shuffled to them.
     """
     scanned = scan(docs, owner)
     doc, keys = common.free_names(docs, 2)
     tokens = scanned.select("doc_id", F.explode("found").alias("f")).filter("f.kind = 3").select("doc_id", "f.key")
     live = tokens.join(ownership(scanned).filter(looks_live(max_owners, max_repos)).select("key"), "key", "left_semi")
-    by_doc = live.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(keys))
+    by_doc = common.materialize(live.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(keys)), "live")
+    if (by_doc.agg(F.sum(F.size(keys))).first()[0] or 0) <= BROADCAST_TOKENS:
+        by_doc = F.broadcast(by_doc)
     wide = docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").drop(doc)
     schema = docs.schema
     out = wide.mapInArrow(_masker(keys), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))

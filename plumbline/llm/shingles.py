@@ -201,8 +201,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.materialize(sides.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), "verified")
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """_row, root per row of `rows` (columns _row and text): one root a component of similar texts. A written table."""
+def groups(rows: DataFrame, texts_of=None) -> DataFrame:
+    """_row, root per row of `rows` (columns _row and text): one root a component of similar texts. A written table.
+
+    texts_of(keys) gives node and text of rows by their keys (column node), if there is a shorter way than a join.
+    """
     spark = rows.sparkSession
     each = lambda df, *more: df.select(F.posexplode("fps").alias("family", "fp"), "node", *more).select("fp", F.col("family").cast("long").alias("family"), "node", *more)
     with common.temporary(spark) as keep:
@@ -217,7 +220,8 @@ def groups(rows: DataFrame) -> DataFrame:
         some = common.materialize(simhash.dealt(every, parts, hot).mapInArrow(_near_nodes, "node long").distinct(), "near")
         common.release(spark)
         some = common.materialize(nodes.join(some, "node", "left_semi").select("node", "fps"), "candidates")
-        written = common.materialize(some.select("node").join(texts, F.col("node") == F.col("_row")).select("node", "text"), "texts")
+        held = texts_of(some.select("node")) if texts_of else some.select("node").join(texts, F.col("node") == F.col("_row"))
+        written = common.materialize(held.select("node", F.col("text").cast("string").cast("binary").alias("text")), "texts")
         common.release(spark)
         labels, tried, found = some.select("node", F.col("node").alias("label")), None, None
         renamed = lambda links: some.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
@@ -243,6 +247,8 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of `docs` of each group of near-duplicates."""
-    rows, row = common.keyed(docs)
-    roots = groups(rows.select(F.col(row).alias("_row"), "text"))
-    return common.least_of_each(rows, row, roots.withColumnRenamed("_row", "row")).select(*docs.columns)
+    chunks = common.Chunks(docs)
+    rows = chunks.rows("doc_id", "text")
+    texts_of = lambda keys: chunks.take(keys.select("node", F.col("node").alias("key")), ["text"]).withColumnRenamed("key", "node")
+    roots = groups(rows.select(F.col(chunks.row).alias("_row"), "text"), texts_of)
+    return chunks.take(common.least_keys(rows, chunks.row, roots.withColumnRenamed("_row", "row"))).select(*docs.columns)

@@ -1,10 +1,11 @@
 """Near-duplicate groups of rows with repeated or null doc_id."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
-from plumbline.llm import mixture, secrets, shingles, simhash
+from plumbline.llm import common, mixture, secrets, shingles, simhash
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures
@@ -31,3 +32,36 @@ def test_columns_of_any_name_are_kept(spark):
         assert out.columns == wide.columns, name
         assert all(r[c] == f"{c}{r.doc_id or 0}" for r in out.collect() for c in CLASHES), name
         assert fixtures.rows(out.select(docs.columns)) == fixtures.rows(stage(docs)), name
+
+
+def test_chunks_give_every_row_by_its_key(spark):
+    texts = [None, "", "a b", "x" * 50_000, *(f"row {i} " * (i % 40) for i in range(900))]
+    docs = spark.createDataFrame([(i % 7 or None, t, [i]) for i, t in enumerate(texts)], "doc_id long, text string, `a, b` array<int>").repartition(3)
+    chunks = common.Chunks(docs)
+    rows = {r[-1]: tuple(r)[:-1] for r in chunks.rows("doc_id", "text", "a, b").collect()}
+    assert Counter(map(str, rows.values())) == Counter(str(tuple(r)) for r in docs.collect())
+    keys = [k for k in rows if k % 3] * 2
+    wanted = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, n long")
+    assert {r[-1]: tuple(r)[:-1] for r in chunks.take(wanted).collect()} == {n: rows[k] for n, k in enumerate(keys)}
+    assert common.Chunks(docs.limit(0)).rows("text").count() == 0
+
+
+def test_texts_are_moved_only_to_their_output_shards(spark):
+    """Exchanges of texts in the stages' plans, when nothing is small enough to be broadcast by size."""
+    docs = fixtures.documents(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, most in ((shingles.one_of_each, 0), (secrets.mask_secrets, 0), (mixture.taken_documents, 1)):
+            out = stage(docs)
+            moved, todo = 0, [out._jdf.queryExecution().executedPlan()]
+            while todo:
+                node = todo.pop()
+                if node.nodeName() == "AdaptiveSparkPlan":
+                    todo.append(node.inputPlan())
+                    continue
+                moved += node.nodeName() == "Exchange" and any(node.output().apply(i).name() == "text" for i in range(node.output().size()))
+                todo += [node.children().apply(i) for i in range(node.children().size())]
+            assert moved == most, stage
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
