@@ -182,15 +182,20 @@ class Chunks:
         self.written = materialize_bucketed(docs.mapInArrow(_pack, "chunk long, blob binary"), "rows", "chunk")
 
     def rows(self, *names: str) -> DataFrame:
-        """The columns `names` and the key of all rows."""
+        """The columns `names`, in the table's order, and the key of all rows."""
+        names = [n for n in self.schema.names if n in names]
+        return self.map(lambda batches: batches, StructType([*(self.schema[n] for n in names), StructField(self.row, LongType())]), names)
+
+    def map(self, function, schema: StructType | str, names: list[str]) -> DataFrame:
+        """What `function` makes of the columns `names` and the key of all rows, in the worker that reads them."""
+        key = self.row
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, blob in zip(*batch.columns, strict=True):
                     yield from _rows_of(chunk.as_py(), blob.as_py(), names).rename_columns([*names, key]).to_batches()
 
-        names, key = [n for n in self.schema.names if n in names], self.row
-        return self.written.select("chunk", "blob").mapInArrow(unpack, StructType([*(self.schema[n] for n in names), StructField(key, LongType())]))
+        return self.written.select("chunk", "blob").mapInArrow(lambda batches: function(unpack(batches)), schema)
 
     def take(self, keys: DataFrame, names: list[str] | None = None) -> DataFrame:
         """The columns `names` (all of them) of the row of each of `keys` (its first column), and the other columns of `keys`, of type long."""

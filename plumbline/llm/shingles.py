@@ -69,6 +69,9 @@ def fingerprints(text: bytes | None) -> np.ndarray:
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel()
 
 
+MARKS = "_row long, node long, fps array<long>"
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -82,6 +85,14 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), lists], names=["_row", "node", "fps"])
 
 
+def _chunk_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_marks` of text and key."""
+    for batch in batches:
+        text, key = batch.columns
+        text = text if pa.types.is_binary(text.type) else text.cast(pa.string()).cast(pa.binary())
+        yield from _marks(iter([pa.RecordBatch.from_arrays([key, text], names=["_row", "text"])]))
+
+
 def _near_pairs(sub, fp, exact, label) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different labels within LIMIT bits in one bucket (rows sorted by `sub`), one of them exact; a part at a time."""
     edges = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1], [True]])) if len(sub) else np.zeros(1, np.int64)
@@ -201,16 +212,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.materialize(sides.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), "verified")
 
 
-def groups(rows: DataFrame, texts_of=None) -> DataFrame:
+def groups(rows: DataFrame, chunks: common.Chunks | None = None) -> DataFrame:
     """_row, root per row of `rows` (columns _row and text): one root a component of similar texts. A written table.
 
-    texts_of(keys) gives node and text of rows by their keys (column node), if there is a shorter way than a join.
+    If `rows` come from chunks, their texts are read and taken there.
     """
     spark = rows.sparkSession
     each = lambda df, *more: df.select(F.posexplode("fps").alias("family", "fp"), "node", *more).select("fp", F.col("family").cast("long").alias("family"), "node", *more)
     with common.temporary(spark) as keep:
         texts = rows.select("_row", F.col("text").cast("string").cast("binary").alias("text"))
-        marks = common.materialize(texts.mapInArrow(_marks, "_row long, node long, fps array<long>"), "shingles")
+        marks = common.materialize(chunks.map(_chunk_marks, MARKS, ["text"]) if chunks else texts.mapInArrow(_marks, MARKS), "shingles")
         # A node is known by the least _row of its texts, which is shorter than its hash.
         nodes = marks.groupBy(F.col("node").alias("hash")).agg(F.min("_row").alias("node"), F.first("fps").alias("fps"))
         nodes = common.materialize(nodes, "nodes")
@@ -220,7 +231,8 @@ def groups(rows: DataFrame, texts_of=None) -> DataFrame:
         some = common.materialize(simhash.dealt(every, parts, hot).mapInArrow(_near_nodes, "node long").distinct(), "near")
         common.release(spark)
         some = common.materialize(nodes.join(some, "node", "left_semi").select("node", "fps"), "candidates")
-        held = texts_of(some.select("node")) if texts_of else some.select("node").join(texts, F.col("node") == F.col("_row"))
+        # The key comes back as the column beside the texts.
+        held = chunks.take(some.select(F.col("node").alias("key"), "node"), ["text"]) if chunks else some.select("node").join(texts, F.col("node") == F.col("_row"))
         written = common.materialize(held.select("node", F.col("text").cast("string").cast("binary").alias("text")), "texts")
         common.release(spark)
         labels, tried, found = some.select("node", F.col("node").alias("label")), None, None
@@ -249,6 +261,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of `docs` of each group of near-duplicates."""
     chunks = common.Chunks(docs)
     rows = chunks.rows("doc_id", "text")
-    texts_of = lambda keys: chunks.take(keys.select("node", F.col("node").alias("key")), ["text"]).withColumnRenamed("key", "node")
-    roots = groups(rows.select(F.col(chunks.row).alias("_row"), "text"), texts_of)
+    roots = groups(rows.select(F.col(chunks.row).alias("_row"), "text"), chunks)
     return chunks.take(common.least_keys(rows, chunks.row, roots.withColumnRenamed("_row", "row"))).select(*docs.columns)
