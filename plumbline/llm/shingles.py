@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, simhash
-from plumbline.llm.components import components
+from plumbline.llm.components import components, forest
 
 SHINGLE, SEED = 5, 42
 #: Similarity of 4 / 5 at least.
@@ -128,10 +128,10 @@ def _star_pairs(sub, fp, exact, node, label) -> tuple[np.ndarray, np.ndarray]:
     nodes, first = np.unique(node, return_index=True)
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in _near_pairs(sub, fp, exact, label):
-        u, v = simhash._stars(node[i], node[j])
+        u, v = forest(node[i], node[j])
         us.append(u)
         vs.append(v)
-    u, v = simhash._stars(np.concatenate(us), np.concatenate(vs))  # v is the smallest of its cluster
+    u, v = forest(np.concatenate(us), np.concatenate(vs))  # v is the smallest of its cluster
     of = lambda x: label[first[np.searchsorted(nodes, x)]]
     pick = np.flatnonzero(of(u) != of(v))
     _, one = np.unique(np.stack([v[pick], of(u)[pick]], axis=1), axis=0, return_index=True)

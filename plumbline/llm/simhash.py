@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
-from plumbline.llm.components import components
+from plumbline.llm.components import components, forest
 
 SHINGLE, SEED, BITS = 4, 42, 64
 MAX_DISTANCE = 4
@@ -205,24 +205,6 @@ def near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= limit
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same components as the links u, v, as (node, smallest node reached): a forest."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        old = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == old).all():
-            break
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def bucket_links(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the rows of equal key, sorted by key, of which one is exact: stars of their components."""
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -241,12 +223,12 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, limit: int)
         for lo in range(0, len(f), 256):
             hit, to = np.nonzero(near(f[lo : lo + 256, None], own[None, :], limit))
             if len(hit):
-                u, v = _stars(f[lo : lo + 256][hit], own[to])
+                u, v = forest(f[lo : lo + 256][hit], own[to])
                 us.append(u)
                 vs.append(v)
     u, v = np.concatenate(us), np.concatenate(vs)
     differ = u != v
-    return _stars(u[differ], v[differ])
+    return forest(u[differ], v[differ])
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

@@ -121,3 +121,16 @@ def test_components_of_paths(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert all(got.get(x, x) == min(run) for run in (ids[:30], ids[30:59]) for x in run)
     assert components(df.limit(0)).count() == 0
+
+
+def test_few_links_are_joined_without_rounds(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(-600, 600) << 40, rng.randrange(-600, 600) << 40) for _ in range(700)] + [(5, 5), (5, 4), (4, 5)]
+    df = common.materialize(spark.createDataFrame(rows, "u long, v long"), "links")
+    by_rounds = {r.node: r.root for r in components(df, few=0).collect()}
+    spark.sparkContext.setJobGroup("few links", "")
+    got = {r.node: r.root for r in components(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == by_rounds and got[5] == 4 and len(set(got.values())) > 1
+    assert jobs <= 6  # rounds make some ten jobs each
