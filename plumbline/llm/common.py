@@ -83,6 +83,10 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Shuffle partitions a file of narrow rows.
+NARROW = 16
+
+
 def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back.
 
@@ -99,6 +103,15 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return out
 
 
+def materialize_narrow(df: DataFrame, name: str) -> DataFrame:
+    """As `materialize`, for rows of a few numbers: gathered into few files.
+
+    A task a partition would write a file each, for which an executor on local
+    disks starts a process (chmod) or two.
+    """
+    return materialize(df.repartition(max(4, partitions(df.sparkSession) // NARROW)), name)
+
+
 def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """As `materialize`, dealt into buckets of `column`: a later join on it leaves these rows where they are.
 

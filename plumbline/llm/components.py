@@ -57,12 +57,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return pairs.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
-    """node, root: every node of `links` (columns u, v, long) but the roots, with its component's smallest node."""
+def components(links: DataFrame, few: int = FEW_LINKS, written: bool = False) -> DataFrame:
+    """node, root: every node of `links` (columns u, v, long) but the roots, with its component's smallest node.
+
+    Links that are `written` are not written once more where they are few.
+    """
     spark = links.sparkSession
+    joined = lambda rows: common.materialize(rows.select("u", "v").coalesce(1).mapInArrow(_forest, "node long, root long"), "links")
+    if written and links.count() <= few:
+        return joined(links)
     now = common.materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     if now.count() <= few:
-        return common.materialize(now.coalesce(1).mapInArrow(_forest, "node long, root long"), "links")
+        return joined(now)
     state = None
     while True:
         before, now = now, common.materialize(_small_star(_large_star(now)), "links")

@@ -209,7 +209,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
     sides = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return common.materialize(sides.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), "verified")
+    return common.materialize_narrow(sides.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), "verified")
 
 
 def groups(rows: DataFrame, chunks: common.Chunks | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def groups(rows: DataFrame, chunks: common.Chunks | None = None) -> DataFrame:
         every = each(nodes)
         parts = simhash.parts_of(every, LIMIT, FAMILIES)
         hot = simhash.hot_buckets(every, parts)
-        some = common.materialize(simhash.dealt(every, parts, hot).mapInArrow(_near_nodes, "node long").distinct(), "near")
+        some = common.materialize_narrow(simhash.dealt(every, parts, hot).mapInArrow(_near_nodes, "node long").distinct(), "near")
         common.release(spark)
         some = common.materialize(nodes.join(some, "node", "left_semi").select("node", "fps"), "candidates")
         # The key comes back as the column beside the texts.
@@ -236,25 +236,25 @@ def groups(rows: DataFrame, chunks: common.Chunks | None = None) -> DataFrame:
         written = common.materialize(held.select("node", F.col("text").cast("string").cast("binary").alias("text")), "texts")
         common.release(spark)
         labels, tried, found = some.select("node", F.col("node").alias("label")), None, None
-        renamed = lambda links: some.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+        renamed = lambda links: some.select("node").join(components(links, written=True), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
         here = lambda: each(some.join(labels, "node"), "label")
         for family in range(FAMILIES):
             pairs = simhash.dealt(here().filter(F.col("family") == family), parts, hot).mapInArrow(_stars, "u long, v long").distinct()
-            pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+            pairs = common.materialize_narrow(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
             if pairs.isEmpty():  # nothing that this family could still join
                 continue
             right = _verified(pairs, written)
             tried, found = (pairs, right) if tried is None else (tried.unionByName(pairs), found.unionByName(right))
             if not right.isEmpty():
                 labels = renamed(found)
-        rows_left = common.materialize(simhash.dealt(here(), parts, hot).mapInArrow(_open_rows, OPEN), "open")  # all that is left
+        rows_left = common.materialize_narrow(simhash.dealt(here(), parts, hot).mapInArrow(_open_rows, OPEN), "open")  # all that is left
         if not rows_left.isEmpty():
             told = rows_left.join(written, "node").select("sub", "fp", "exact", "node", "label", "text").repartition(common.partitions(spark), "sub").sortWithinPartitions("sub")
-            right = common.materialize(told.mapInArrow(_open_links, "u long, v long"), "verified")
+            right = common.materialize_narrow(told.mapInArrow(_open_links, "u long, v long"), "verified")
             if not right.isEmpty():
                 labels = renamed(right if found is None else found.unionByName(right))
         named = nodes.select("hash", "node").join(labels, "node", "left").select("hash", F.coalesce("label", "node").alias("root"))
-        return keep(common.materialize(marks.select("_row", F.col("node").alias("hash")).join(named, "hash").select("_row", "root"), "roots"))
+        return keep(common.materialize_narrow(marks.select("_row", F.col("node").alias("hash")).join(named, "hash").select("_row", "root"), "roots"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

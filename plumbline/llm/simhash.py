@@ -279,7 +279,7 @@ def hot_buckets(fps: DataFrame, parts, hot_rows: int = HOT_ROWS) -> DataFrame:
     order, layout, thresholds = parts
     own = fps.mapInArrow(_prober(order, layout, tuple(min(t, 0) for t in thresholds)), _probed(fps))
     hot = own.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
-    hot = common.materialize(hot, "hot")
+    hot = common.materialize_narrow(hot, "hot")
     return F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
 
 

@@ -160,3 +160,20 @@ def test_open_buckets_give_rows_of_nodes_not_of_pairs():
         root = [x if r == y else r for r in root]
     want = brute_groups([t.decode() for t in texts], False)
     assert len({*zip(root, want)}) == len(set(root)) == len(set(want)) and len(u) < n
+
+
+def test_narrow_tables_are_few_files(spark):
+    """Each file of a local disk costs an executor a process or two."""
+    import glob
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 96)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, " ".join(f"w{i % 150}x{j}" for j in range(40)) + f" end{i}") for i in range(300)]
+        roots = shingles.groups(spark.createDataFrame(rows, "_row long, text string"))
+        assert len({r.root for r in roots.collect()}) == 150
+        assert len(glob.glob(f"{roots.plumbline_path.removeprefix('file://')}/part-*")) <= 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
